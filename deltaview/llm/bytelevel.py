@@ -17,23 +17,29 @@ _WHITE = frozenset(chr(c) for c in range(0x3001) if regex.match(f"[{WHITE}]", ch
 
 
 def cut_block(texts: list[str], known: dict) -> tuple[list[str], list[list[str]], list[str]]:
-    """Texts cut before every space: what stands before the first one, the cuts after it
-    without their spaces, and the distinct cuts that aren't known.
+    """Texts cut before every space and line feed: what stands before the first one, the cuts
+    after it (see whole), and the distinct cuts that aren't known.
 
-    A space opens a new token and no token's look-ahead passes it, unless other white space
-    is beside it or it ends the text; such a text is left whole, with no cuts. An added
-    special token holds no space. No odd cut ever gets into `known`.
+    A space opens a new token, a lone line feed is one, and no token's look-ahead passes
+    either, unless other white space is beside it or it ends the text; such a text is left
+    whole, with no cuts. An added special token holds neither. No odd cut ever gets into
+    `known`.
     """
-    tails = [t.split(" ") for t in texts]
+    tails = [t.replace("\n", " \n").split(" ") for t in texts]
     heads = [c.pop(0) for c in tails]
     new = set().union(*tails).difference(known)
-    odd = {c for c in new if not c or c[0] in _WHITE or c[-1] in _WHITE}
+    odd = {c for c in new if not c or c[-1] in _WHITE or (c[1] if c[0] == "\n" else c[0]) in _WHITE}
     for i, (head, tail) in enumerate(zip(heads, tails, strict=True)):
-        if tail and head and head[-1] in _WHITE or odd and not odd.isdisjoint(tail):
+        if tail and (not head and tail[0][:1] == "\n" or head and head[-1] in _WHITE) or odd and not odd.isdisjoint(tail):
             heads[i], tails[i] = texts[i], []
     return heads, tails, list(new - odd)
 
 
+def whole(cuts: list[str]) -> list[str]:
+    """Cuts as they stand in a text: the space of those that a line feed doesn't open."""
+    return [c if c[0] == "\n" else " " + c for c in cuts]
+
+
 class ByteLevel:
     """Vocabulary, merges and added tokens of a byte-level BPE file of the tokenizers library."""
 

@@ -79,7 +79,7 @@ class Model:
                 if own.get(1, b"identity") != b"identity" or own.get(4, 1) != 0 or own.get(3, 1) != 1:
                     raise ValueError("only models with the identity normaliser, a dummy prefix and all white space are read")
         self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == self.NORMAL}
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
             raise ValueError("a piece reaches across words")
         self.bytes_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == self.BYTE}
         if len(self.bytes_ids) != 256:
@@ -120,20 +120,20 @@ class Model:
         return symbols, counts
 
 
-_CUT = re.compile(" *[^ ]+| +")
+_CUT = re.compile(" *[^ \n]+|\n[^ \n]*| +")
 _MODELS: dict[str, Model] = {}
 _CACHE: dict[str, dict[str, tuple[int, str, bytes]]] = {}
 
 
 def cuts_of(text: str) -> list[str]:
-    """The text behind its dummy prefix, cut before each space that follows another
-    character; the leading space of each cut is left out."""
+    """The text behind its dummy prefix, cut before each line feed and before each space that
+    follows another character; the one leading space of cuts other than line feeds is left out."""
     if not text:
         return []
     text = text.replace(SPACE, " ")
-    if "  " in text or text[0] == " " or text[-1] == " ":
-        return [c[1:] for c in _CUT.findall(" " + text)]
-    return text.split(" ")
+    if "  " in text or text[0] == " ":
+        return [c if c[0] == "\n" else c[1:] for c in _CUT.findall(" " + text)]
+    return text.replace("\n", " \n").split(" ")
 
 
 def model(path: str) -> Model:
@@ -144,7 +144,7 @@ def model(path: str) -> Model:
 
 def _fill(cache: dict[str, tuple[int, str, bytes]], m: Model, cuts: Iterable[str]) -> None:
     cuts = list(cuts)
-    ids, counts = m.pieces_of([SPACE + c.replace(" ", SPACE) for c in cuts])
+    ids, counts = m.pieces_of([c if c[:1] == "\n" else SPACE + c.replace(" ", SPACE) for c in cuts])
     ids, ends, begin, surface = ids.tolist(), np.cumsum(counts).tolist(), 0, m.surface
     for cut, end in zip(cuts, ends, strict=True):
         own = ids[begin:end]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaview.llm.bytelevel import ByteLevel, cut_block
+from deltaview.llm.bytelevel import ByteLevel, cut_block, whole
 from deltaview.llm.runtime import ensure_importable, slices
 
 #: Distinct cuts a worker keeps between blocks; those beyond it are merged anew in each block.
@@ -39,7 +39,7 @@ def count_all(texts: list[str], path: str) -> Iterator[int]:
     for begin, end in slices([len(t) for t in texts], BLOCK_CHARS):
         heads, tails, new = cut_block(texts[begin:end], cache)
         rest: dict[str, int] = {}
-        (cache if len(cache) + len(new) <= CACHE else rest).update(zip(new, _counts(spec, [" " + c for c in new]), strict=True))
+        (cache if len(cache) + len(new) <= CACHE else rest).update(zip(new, _counts(spec, whole(new)), strict=True))
         get = cache.get
         for head, tail in zip(_counts(spec, heads), tails, strict=True):
             yield head + sum([get(c) or rest[c] for c in tail])

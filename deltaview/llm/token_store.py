@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deltaview.llm.bytelevel import cut_block
+from deltaview.llm.bytelevel import cut_block, whole
 from deltaview.llm.runtime import ensure_importable, shared_dir, shuffle_width, slices
 
 MAGIC = b"DVTIDS01"
@@ -42,8 +42,8 @@ HEAD = struct.Struct("<8sII32s")
 SHARD_BYTES = 4_000_000
 BLOCK_CHARS = 8_000_000
 #: Distinct cuts a worker keeps between blocks; those beyond it are encoded anew in each block.
-CACHE = 500_000
-#: The dictionary is trained on at most so many documents of at most so many characters.
+CACHE = 900_000
+#: The dictionary is trained on at most so many documents, of at most so many characters each.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 200, 20_000, 32_768
 
 _TOKENIZERS: dict[str, object] = {}
@@ -72,7 +72,7 @@ def encode_all(texts: list[str], path: str) -> Iterator[bytes]:
         rest: dict[str, bytes] = {}
         kept = cache if len(cache) + len(new) <= CACHE else rest
         for some, few in slices([1] * len(new), 50_000):
-            kept.update(zip(new[some:few], _ids(tokenizer, [" " + c for c in new[some:few]]), strict=True))
+            kept.update(zip(new[some:few], _ids(tokenizer, whole(new[some:few])), strict=True))
         get = cache.get
         for head, tail in zip(_ids(tokenizer, heads), tails, strict=True):
             yield head + b"".join([get(c) or rest[c] for c in tail])
@@ -178,7 +178,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
     ensure_importable(spark)
     out = TokenFiles(path or f"{shared_dir(spark)}/deltaview-tokens-{uuid.uuid4().hex}")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = rows.where(F.length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()
+    one_in = max(1, docs.count() // SAMPLE_DOCS)
+    chosen = (F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0) & F.length("text").between(1, SAMPLE_CHARS)
+    sample = rows.where(chosen).limit(SAMPLE_DOCS).collect()
     tokenizer = _tokenizer(tokenizer_path)
     width = 2 if max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 65_536 else 4
     dictionary = train_dictionary([narrow(x, width) for x in _ids(tokenizer, [r["text"] for r in sample])])
