@@ -23,7 +23,7 @@ from deltaview.llm.runtime import ensure_importable, stored
 
 #: Pivots are vectors of the table, at most so many: the square root of the number of classes times PER_ROOT.
 MAX_PIVOTS, PER_ROOT = 4_096, 2
-PREFIX, MIN_SHARED = 8, 3
+PREFIX, MIN_SHARED = 8, 2
 #: Vectors of a list that one block holds.
 BLOCK = 2_000
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaview.llm import decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, sentencepiece_codec, token_counts, token_store
+from deltaview.llm import decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, sentencepiece_codec, token_counts, token_store, toxicity
 from deltaview.llm.runtime import is_held_out
 
 
@@ -36,6 +36,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_read(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores, learned from the labelled rows that aren't held out."""
+    docs = _read(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, _read(spark, sf_dir, "labels"), learn=~is_held_out(F.col("doc_id")))
+    out = toxicity.score(docs, net)
+    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of embeddings of one label at a cosine of 0.93."""
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.93)
@@ -60,7 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OPERATORS = (
-    op1_ngram_jaccard, op3_sentencepiece, op4_token_counts, op5_line_dedup, op7_embedding_dedup,
+    op1_ngram_jaccard, op3_sentencepiece, op4_token_counts, op5_line_dedup, op6_toxicity, op7_embedding_dedup,
     op8_benchmark_decontamination, op9_token_files, op10_language_id,
 )
 
