@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaview.llm import decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, sentencepiece_codec, token_counts, token_store, toxicity
+from deltaview.llm import decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, sentencepiece_codec, suffix_dedup, token_counts, token_store, toxicity
 from deltaview.llm.runtime import is_held_out
 
 
@@ -21,6 +21,11 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(_read(spark, sf_dir, "documents"), k=5, threshold=(4, 5)).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by 100-byte strings that start earlier in the corpus, removed."""
+    return suffix_dedup.digest(_read(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids and their decoded text, as digests."""
     return sentencepiece_codec.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -68,7 +73,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OPERATORS = (
-    op1_ngram_jaccard, op3_sentencepiece, op4_token_counts, op5_line_dedup, op6_toxicity, op7_embedding_dedup,
+    op1_ngram_jaccard, op2_suffix_dedup, op3_sentencepiece, op4_token_counts, op5_line_dedup, op6_toxicity, op7_embedding_dedup,
     op8_benchmark_decontamination, op9_token_files, op10_language_id,
 )
 
