@@ -151,7 +151,8 @@ def _holds(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _gather(texts: DataFrame, mixed, hot) -> DataFrame:
     """Segments with their bytes, of the anchors in `mixed` (and a few others), those of anchors
-    in `hot` split: key, doc_id, anchor and start (places in the document), size, bytes."""
+    in `hot` split: key, doc_id, anchor and start (places in the document), size, bytes. Rows
+    without bytes are parts that a task knows to be repeated; they only pass through."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, split = mixed.value, hot.value
@@ -166,16 +167,22 @@ def _gather(texts: DataFrame, mixed, hot) -> DataFrame:
                     some = _holds(wanted, h)
                     text, anchor, begin, size, h = text[some], anchor[some], begin[some], size[some], h[some]
                     many = _holds(split, h)
+                    cut = np.zeros(int((~many).sum()), bool)
                     if many.any():
                         text, anchor, begin, size, h = (np.concatenate([x[~many], y]) for x, y in zip((text, anchor, begin, size, h), _parts(block, text[many], anchor[many], begin[many], size[many], h[many]), strict=True))
                     s = _segment_hash(block, anchor, begin, size)
                     at = block.bounds[text]
-                    rows.append((h, s, ids[c + text], anchor - at, begin - at, size))
+                    cut = np.r_[cut, np.ones(len(text) - len(cut), bool)]
+                    rows.append((h, s, ids[c + text], anchor - at, begin - at, size, cut))
                     pieces += [block.data[x:y] for x, y in zip(begin.tolist(), (begin + size + (LENGTH - 1)).tolist(), strict=True)]
-                h, s, doc, anchor, start, size = (np.concatenate(x) for x in zip(*rows, strict=True))
-                first, _ = _later(h, s, doc, start)
-                if len(first):
-                    yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(doc[first], pa.int64()), pa.array(anchor[first], pa.int32()), pa.array(start[first], pa.int32()), pa.array(size[first], pa.int32()), pa.array([pieces[i] for i in first.tolist()], pa.binary())], ["key", "doc_id", "anchor", "start", "size", "bytes"])
+                h, s, doc, anchor, start, size, cut = (np.concatenate(x) for x in zip(*rows, strict=True))
+                first, later = _later(h, s, doc, start)
+                later = later[cut[later]]  # later ones of whole segments are known by now, those of parts are not
+                both = np.r_[first, later]
+                key = np.where(np.arange(len(both)) < len(first), h[both].view(np.int64), doc[both] ^ start[both])
+                held = [*(pieces[i] for i in first.tolist()), *([None] * len(later))]
+                if len(both):
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[both], pa.int64()), pa.array(anchor[both], pa.int32()), pa.array(start[both], pa.int32()), pa.array(size[both], pa.int32()), pa.array(held, pa.binary())], ["key", "doc_id", "anchor", "start", "size", "bytes"])
 
     return texts.mapInArrow(work, "key long, doc_id long, anchor int, start int, size int, bytes binary")
 
@@ -275,6 +282,10 @@ def _sorted_out(segments: DataFrame) -> DataFrame:
 
 
 def _collections(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    known = table.filter(table["bytes"].is_null())
+    if known.num_rows:
+        yield from known.select(["doc_id", "start", "size"]).to_batches()
+        table = table.filter(table["bytes"].is_valid())
     key = table["key"].to_numpy()
     _, again = np.unique(key, return_inverse=True)
     alone = np.bincount(again)[again] < 2
