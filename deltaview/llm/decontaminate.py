@@ -101,6 +101,17 @@ def _sequences(words: np.ndarray, first: np.ndarray, width: int, k: int) -> np.n
     return shingles.shingle_hashes(spread, starts, k)[0]
 
 
+def _item_blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[tuple[list, list]]:
+    """Ids and texts of the items, in blocks of bounded size."""
+    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).head()
+    blocks = max(1, -(-total["n"] // BLOCK_ITEMS), -(-total["chars"] // BLOCK_CHARS))
+    for block in range(blocks):
+        some = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else rows
+        some = some.collect()
+        yield [r["item_id"] for r in some], [r["text"] for r in some]
+
+
 def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item of containment >= threshold (a fraction of two ints):
     doc_id, item_id, n_shingles (of the item), n_common, containment.
@@ -112,15 +123,10 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: tuple[in
     """
     spark = docs.sparkSession
     ensure_importable(spark)
-    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).head()
-    blocks = max(1, -(-total["n"] // BLOCK_ITEMS), -(-total["chars"] // BLOCK_CHARS))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("text"))
     out = None
-    for block in range(blocks):
-        some = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else rows
-        some = some.collect()
-        shared = spark.sparkContext.broadcast(([r["item_id"] for r in some], [r["text"] for r in some]))
+    for block in _item_blocks(items, item_id, item_text):
+        shared = spark.sparkContext.broadcast(block)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, own = shared.value
@@ -135,3 +141,26 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: tuple[in
         part = texts.mapInArrow(work, "doc_id long, item_id long, n_shingles long, n_common long, containment double")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def clean(docs: DataFrame, items: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, that hold no item to the threshold. Rows are
+    judged where they are read; nothing is shuffled."""
+    spark = docs.sparkSession
+    ensure_importable(spark)
+    at, schema = docs.columns.index(text_col), docs.schema
+    for block in _item_blocks(items, item_id, item_text):
+        shared = spark.sparkContext.broadcast(block[1])
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = index_items(shared.value, k, threshold)
+            for batch in batches:
+                raw = [(t or "").encode() for t in batch.column(at).to_pylist()]
+                keep = np.ones(len(raw), bool)
+                for a, b in slices([len(t) for t in raw], shingles.BLOCK_BYTES):
+                    for t, _, _ in search(raw[a:b], index, k):
+                        keep[a + t] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(work, schema)
+    return docs

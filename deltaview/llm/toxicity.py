@@ -323,6 +323,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 _SCORERS: dict[bytes, Scorer] = {}
 
 
+def _scorer(net: Net) -> Scorer:
+    """The worker's scorer of this net, with the words that it has seen so far."""
+    key = net.p["w"].tobytes() if net.p else repr(net.prior).encode()
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(net)
+    return _SCORERS[key]
+
+
 def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, score (0 to 1, higher: label 1 likelier).
 
@@ -335,12 +344,26 @@ def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "te
     shared = spark.sparkContext.broadcast(net)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        key = own.p["w"].tobytes() if own.p else b""
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(own)
+        scorer = _scorer(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(_SCORERS[key].scores([t or "" for t in batch.column(1).to_pylist()])), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(scorer.scores([t or "" for t in batch.column(1).to_pylist()])), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, net: Net, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is below the threshold, and those
+    without words. Rows are judged where they are read; nothing is shuffled."""
+    spark = docs.sparkSession
+    ensure_importable(spark)
+    shared = spark.sparkContext.broadcast(net)
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(shared.value)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            keep = [s < threshold or not t.strip() for s, t in zip(scorer.scores(texts), texts, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
