@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from deltaview.functions.values import decode
 from deltaview.model import type_of_oid
@@ -30,15 +30,11 @@ def _events(path: str) -> Iterator[tuple[str, int, bytes]]:
             yield from zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
 
 
-def _rows(path: str, layout: str, after: int, limit: int | None = None) -> Iterator[tuple]:
-    """Rows of whole transactions committed after a position."""
-    done = 0
+def _rows(path: str, layout: str, after: int, upto: int | None = None) -> Iterator[tuple]:
+    """Rows of whole transactions committed after a position, up to another."""
     for commit_lsn, changes in transactions(_events(path), Decoder(layout)):
-        if commit_lsn <= after:
+        if commit_lsn <= after or upto is not None and commit_lsn > upto:
             continue
-        if limit is not None and done >= limit:
-            return
-        done += 1
         for c in changes:
             yield (commit_lsn, c["lsn"], c["index_in_txn"], c["relation_id"], c["namespace"], c["table"], c["op"], c["before"], c["after"], c["unchanged"])
 
@@ -51,29 +47,38 @@ class _Batch(DataSourceReader):
         return _rows(self.options["path"], self.options.get("layout", "protocol"), int(self.options.get("startlsn", 0)))
 
 
-class _Stream(SimpleDataSourceStreamReader):
-    """Offsets are commit positions, so that a batch never splits a transaction."""
+class _Between(InputPartition):
+    def __init__(self, start: int, end: int):
+        super().__init__(0)
+        self.start, self.end = start, end
+
+
+class _Stream(DataSourceStreamReader):
+    """Offsets are commit positions, so that a batch never splits a transaction. What lies
+    between two offsets is read again in the same way after a failure."""
 
     def __init__(self, options: dict[str, str]):
         self.options = options
+        self.start = int(options.get("startlsn", 0))
 
     def initialOffset(self) -> dict:
-        return {"lsn": int(self.options.get("startlsn", 0))}
+        return {"lsn": self.start}
+
+    def latestOffset(self) -> dict:
+        return {"lsn": max([self.start, *(lsn for kind, lsn, _ in _events(self.options["path"]) if kind == "commit")])}
 
-    def _read(self, start: int, limit: int | None) -> list[tuple]:
-        return list(_rows(self.options["path"], self.options.get("layout", "protocol"), start, limit))
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_Between(start["lsn"], end["lsn"])]
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = self._read(start["lsn"], int(self.options.get("transactionsperbatch", 1000)))
-        return iter(rows), {"lsn": max([start["lsn"], *(r[0] for r in rows)])}
+    def read(self, partition: _Between) -> Iterator[tuple]:
+        return _rows(self.options["path"], self.options.get("layout", "protocol"), partition.start, partition.end)
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(r for r in self._read(start["lsn"], None) if r[0] <= end["lsn"])
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class ReplicationLog(DataSource):
-    """`spark.read.format("replication_log")`, and readStream. Options: path, layout, startLsn,
-    transactionsPerBatch. One replication stream is one ordered log: it is read by one task."""
+    """`spark.read.format("replication_log")`, and readStream. Options: path, layout, startLsn. One replication stream is one ordered log: it is read by one task."""
 
     @classmethod
     def name(cls) -> str:
@@ -85,7 +90,7 @@ class ReplicationLog(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Batch(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return _Stream(dict(self.options))
 
 
