@@ -13,10 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltaview.llm.runtime import shuffle_width
+from deltaview.llm.runtime import shuffle_width, stored
 
 #: Fixed value: the white space that keys are stripped of.
 BLANK = " \t\n\x0b\x0c\r"
+SALTS = 16
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -37,11 +38,15 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     line = F.posexplode(_lines(F.col("text")))
     long_lines = docs.select("doc_id", line.alias("pos", "line")).where(F.length("line") >= min_chars).withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
     places = long_lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "pos")
+    # Written once: range partitioning reads its rows twice, and two exchanges start from them.
+    places = stored(places, "lines")
     ranged = places.repartitionByRange(shuffle_width(spark), "h1", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     # First occurrence of a key in a document, then documents of a key: both stream over the sorted range.
     per_doc = ranged.groupBy("h1", "h2", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("places"))
     keys = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last")).where(F.col("n_docs") >= min_docs)
-    hits = per_doc.join(keys.select("h1", "h2", "last"), ["h1", "h2"]).where(F.col("doc_id") < F.col("last"))
+    # A very common key meets its documents in SALTS partitions.
+    salted = keys.select("h1", "h2", "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hits = per_doc.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"]).where(F.col("doc_id") < F.col("last"))
     words = hits.select("doc_id", F.explode("places").alias("pos")).groupBy("doc_id", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
     return words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
 
