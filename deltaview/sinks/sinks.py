@@ -6,6 +6,7 @@ import json
 import os
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 import uuid
 from collections.abc import Callable, Sequence
@@ -123,6 +124,71 @@ class VersionedTableSink:
         return log.latest(rows, self._key(name, columns)).select(*columns)
 
 
+class ColumnarHttpSink:
+    """A columnar store with an HTTP query interface and versioned replacement of rows.
+
+    Tables are made from the schema, ordered by the plan's key (else the first column), with
+    `_version` (the commit position) and `_is_deleted`. A batch is one INSERT per table, in
+    JSON lines; rows of one key keep their order. A truncate empties the table first, and what
+    a batch held before it is left out. A table's name holds its namespace.
+    """
+
+    #: The store's name of each Spark type.
+    TYPES = {"bigint": "Int64", "int": "Int64", "double": "Float64", "boolean": "Bool"}
+
+    def __init__(self, url: str, database: str, keys: dict[str, list[str]] | None = None, timeout: float = 10.0, rows_per_request: int = 50_000):
+        if not url.startswith(("http://", "https://")):
+            raise ConfigError(f"not an HTTP address: {url!r}")
+        self.url, self.database, self.keys, self.timeout, self.rows = url.rstrip("/"), database, keys or {}, timeout, rows_per_request
+        self.made: set[str] = set()
+
+    def _send(self, sql: str, body: bytes = b"") -> None:
+        request = urllib.request.Request(f"{self.url}/?{urllib.parse.urlencode({'query': sql})}", body, method="POST")
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout):
+                return
+        except urllib.error.HTTPError as e:
+            kind = RejectedError if e.code < 500 else WriteError
+            raise kind(f"HTTP {e.code}: {e.read(300).decode('utf-8', 'replace')}") from e
+        except OSError as e:
+            raise WriteError(str(e)) from e
+
+    def _table(self, name: str) -> str:
+        quote = lambda x: '"' + x.replace("\\", "\\\\").replace('"', '\\"') + '"'
+        return f"{quote(self.database)}.{quote(name)}"
+
+    def ddl(self, name: str, columns: Sequence[tuple[str, str]]) -> str:
+        key = self.keys.get(name) or [columns[0][0]]
+        kinds = ((c, self.TYPES.get(kind, "String")) for c, kind in columns)
+        body = ", ".join(f'"{c}" {kind if c in key else f"Nullable({kind})"}' for c, kind in kinds)
+        order = ", ".join(f'"{c}"' for c in key)
+        return f"CREATE TABLE IF NOT EXISTS {self._table(name)} ({body}, _version UInt64, _is_deleted UInt8) ENGINE = ReplacingMergeTree(_version) ORDER BY ({order})"
+
+    def write(self, changes: DataFrame, batch_id: int) -> None:
+        image = changes.schema["after"].dataType
+        for t in changes.select("namespace", "table").distinct().collect():
+            name = f"{t['namespace']}.{t['table']}"
+            own = changes.where((F.col("namespace") == t["namespace"]) & (F.col("table") == t["table"]))
+            if name not in self.made:
+                self._send(self.ddl(name, [(f.name, f.dataType.simpleString()) for f in image.fields]))
+                self.made.add(name)
+            if not own.where("op = 'T'").isEmpty():
+                self._send(f"TRUNCATE TABLE {self._table(name)}")
+            rows = log.versions(zset.since_truncate(own), self.keys.get(name) or [image.names[0]])
+            line = F.to_json(F.struct(*image.names, "_version", F.col("_is_deleted").cast("int").alias("_is_deleted")), {"ignoreNullFields": "false"})
+            self._insert(name, (r["line"] for r in rows.orderBy("_version", "_index", ~F.col("_is_deleted")).select(line.alias("line")).toLocalIterator()))
+
+    def _insert(self, name: str, lines) -> None:
+        waiting: list[str] = []
+        for x in lines:
+            waiting.append(x)
+            if len(waiting) == self.rows:
+                self._send(f"INSERT INTO {self._table(name)} FORMAT JSONEachRow", "\n".join(waiting).encode())
+                waiting = []
+        if waiting:
+            self._send(f"INSERT INTO {self._table(name)} FORMAT JSONEachRow", "\n".join(waiting).encode())
+
+
 class ViewTableSink:
     """Keeps the canonical rows of a view: each batch's delta is added to the last state, which
     is replaced as a whole, under a new name that a small file points to."""
@@ -174,6 +240,8 @@ def build(spec: dict[str, Any] | None, keys: dict[str, list[str]] | None = None)
             return ConsoleSink()
         if kind == "http":
             return HttpSink(spec["url"])
+        if kind == "columnar":
+            return ColumnarHttpSink(spec["url"], spec["database"], keys)
         if kind == "table":
             return VersionedTableSink(spec["path"], keys or {})
         if kind == "fanout":

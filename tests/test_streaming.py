@@ -264,3 +264,65 @@ def test_reader_config():
 def test_snapshot_reader(spark, sf):
     rows = readers.read_snapshot(spark, f"{sf}/nation.parquet")
     assert log.snapshot(rows, "public", "nation").where("commit_lsn = 0 and op = 'I'").count() == 25
+
+
+def test_columnar_store(spark):
+    from urllib.parse import parse_qs, urlparse
+
+    seen, code = [], [200]
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"] or 0)).decode()
+            seen.append((parse_qs(urlparse(self.path).query)["query"][0], [json.loads(x) for x in body.splitlines()]))
+            self.send_response(code[0])
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    sink = sinks.build({"type": "columnar", "url": f"http://127.0.0.1:{server.server_port}", "database": "db"}, {"public.users": ["id"]})
+    sink.write(users(spark, [("I", None, (1, "a'\\")), ("U", (1, "a'\\"), (2, None)), ("D", (2, None), None)]), 0)
+    assert seen[0][0] == 'CREATE TABLE IF NOT EXISTS "db"."public.users" ("id" Int64, "name" Nullable(String), _version UInt64, _is_deleted UInt8) ENGINE = ReplacingMergeTree(_version) ORDER BY ("id")'
+    assert [(r["id"], r["name"], r["_is_deleted"]) for r in seen[1][1]] == [(1, "a'\\", 0), (1, "a'\\", 1), (2, None, 0), (2, None, 1)]
+    sink.write(users(spark, [("I", None, (5, "old")), ("T", None, None), ("I", None, (6, "new"))], 20), 1)
+    assert [q.split()[0] for q, _ in seen[2:]] == ["TRUNCATE", "INSERT"] and [r["id"] for r in seen[3][1]] == [6]
+    for status, error in ((400, sinks.RejectedError), (503, sinks.WriteError)):
+        code[0] = status
+        with pytest.raises(error):
+            sink.write(users(spark, [("I", None, (1, "a"))]), 2)
+    server.shutdown()
+
+
+def test_windowed_view(spark, tmp_path, sf):
+    """Batches of the late-rows recipe, the last ones after a restart, against the batch query's rows."""
+    from deltaview import catalogue
+    from deltaview.fixtures import event_rows
+    from deltaview.streaming.windowed import WindowedView
+
+    rows = event_rows(spark, sf).withColumn("batch", F.floor((F.col("event_id") + F.when(F.col("event_id") % 13 == 0, 700).otherwise(0)) / 500).cast("int")).persist()
+    config = views.ViewConfig((), "cents", True, views.WindowSpec("ts_ms", 3_600_000))
+    n = rows.agg(F.max("batch")).head()[0] + 1
+    for batch in range(n):
+        if batch in (0, 2):
+            view = WindowedView(str(tmp_path / "w"), config, 3_600_000)
+        view.write(log.snapshot(rows.where(F.col("batch") == batch).drop("batch"), "public", "events"), batch)
+        view.write(log.snapshot(rows.limit(1).drop("batch"), "public", "events"), batch)  # delivered again: no effect
+    got = {r["window_start"]: (r["count"], r["sum"]) for df in (view.open_windows(spark), view.closed_windows(spark)) for r in df.collect()}
+    assert got == {r["window_start"]: (r["count"], r["sum"]) for r in catalogue.queries()["late_drop"](spark, sf).collect()}
+    assert view.state["dropped_late"] == catalogue.queries()["late_counter"](spark, sf).head()["dropped_late"] > 0
+    assert view.closed_windows(spark).agg(F.max("window_end")).head()[0] <= view.state["watermark"]
+
+
+def test_drift_detector():
+    from deltaview.streaming.drift import DriftDetector
+
+    d = DriftDetector()
+    at = lambda *columns: Relation(1, "public", "t", tuple(Column(*c) for c in columns))
+    assert d.observe(at(("a", 23))).kind == "new_relation" and d.observe(at(("a", 23))) is None
+    assert (d.observe(at(("a", 20), ("b", 25))).kind, d.observe(at(("a", 20))).column) == ("column_added", "b")
+    d = DriftDetector(d.state())
+    drift = d.observe(at(("a", 25)))
+    assert (drift.kind, drift.old_oid, drift.new_oid, drift.table) == ("type_changed", 20, 25, "public.t")
