@@ -134,9 +134,10 @@ def _find(texts: DataFrame) -> DataFrame:
 
 
 def _bit_table(ids: DataFrame) -> np.ndarray:
-    """A bit for each hash h of ids: 16 bits for each of them, up to 2^28 (32 MB)."""
-    bits = min(28, max(16, (16 * ids.count()).bit_length()))
-    slot = F.shiftrightunsigned(F.col("h"), 64 - bits)
+    """A bit for each hash h of ids: 64 bits for each of them, up to 2^28 (32 MB). Anchors have
+    the least hashes, so it is the low bits that are evenly spread."""
+    bits = min(28, max(16, (64 * ids.count()).bit_length()))
+    slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
     rows = ids.select(F.shiftright(slot, 15).alias("word"), (slot % 32_768).alias("bit")).groupBy("word").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     table = np.zeros(1 << (bits - 3), np.uint8)
     for r in rows:
@@ -145,7 +146,7 @@ def _bit_table(ids: DataFrame) -> np.ndarray:
 
 
 def _holds(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h >> U(64 - (len(table) * 8).bit_length() + 1)
+    at = h & U(len(table) * 8 - 1)
     return (table[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
 
 
