@@ -9,12 +9,12 @@ once, so that a step of the automata is one numpy gather for thousands of blocks
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ CHUNK = 256
 BLOCK_CHARS = 4_000_000
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _OVER = np.int32(-(2**31))
 
 

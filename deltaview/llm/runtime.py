@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zlib
@@ -29,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="deltaview-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
 
