@@ -288,10 +288,9 @@ def late_counter(spark, sf_dir):
 
 
 def _per_window(spark, sf_dir) -> tuple[DataFrame, F.Column]:
-    """Windows of the view, beside a watermark: a day before the last event."""
+    """Windows of the view, and a watermark: a day before the last event, as a scalar subquery."""
     out = batch_windows(event_log(spark, sf_dir), views.ViewConfig((), "cents", True, views.WindowSpec("ts_ms", HOUR)))
-    mark = event_rows(spark, sf_dir).agg((F.max("ts_ms") - 24 * HOUR).alias("mark"))
-    return out.crossJoin(F.broadcast(mark)), F.col("mark")  # one row: the watermark
+    return out, event_rows(spark, sf_dir).agg(F.max("ts_ms") - 24 * HOUR).scalar()
 
 
 _PER_WINDOW = "WITH " + EVENTS_SQL + f""", m AS (SELECT max(ts_ms) - {24 * HOUR} AS mark FROM base),
@@ -301,7 +300,7 @@ _PER_WINDOW = "WITH " + EVENTS_SQL + f""", m AS (SELECT max(ts_ms) - {24 * HOUR}
 
 @query(_PER_WINDOW + "SELECT per.* FROM per, m WHERE window_end <= mark")
 def windows_closed(spark, sf_dir):
-    return windows.closed(*_per_window(spark, sf_dir)).drop("mark")
+    return windows.closed(*_per_window(spark, sf_dir))
 
 
 @query(_PER_WINDOW + "SELECT sum(sum)::BIGINT AS sum, sum(count)::BIGINT AS count FROM per, m WHERE window_end > mark")

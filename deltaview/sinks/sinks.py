@@ -118,8 +118,8 @@ class VersionedTableSink:
     def read(self, spark: SparkSession, name: str) -> DataFrame:
         """The table as it stands: rows after its last truncate, latest versions, no deletions."""
         rows = spark.read.parquet(f"{self.path}/{name}").drop("batch")
-        cuts = spark.read.parquet(f"{self.path}/{name}.truncates").agg(F.max(F.struct("_version", "_index")).alias("_cut"))
-        rows = rows.crossJoin(F.broadcast(cuts)).where(F.col("_cut").isNull() | (F.struct("_version", "_index") > F.col("_cut"))).drop("_cut")  # one row: the last truncate
+        cut = spark.read.parquet(f"{self.path}/{name}.truncates").agg(F.max(F.struct("_version", "_index"))).scalar()
+        rows = rows.where(F.coalesce(F.struct("_version", "_index") > cut, F.lit(True)))
         columns = [c for c in rows.columns if c not in ("namespace", "table", "_version", "_index", "_is_deleted")]
         return log.latest(rows, self._key(name, columns)).select(*columns)
 
