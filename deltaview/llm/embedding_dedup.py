@@ -40,7 +40,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _permutations(vectors: DataFrame, pivots, prefix: int) -> DataFrame:
-    """label, id, vector, and the pivots nearest to it, nearest first."""
+    """label, id, vector, copies, and the pivots nearest to it, nearest first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points = pivots.value
@@ -59,24 +59,28 @@ def _permutations(vectors: DataFrame, pivots, prefix: int) -> DataFrame:
                     top = np.argsort(-near, axis=1, kind="stable")[:, :prefix]
                     for i, p in zip(part, top, strict=True):
                         nearest[i] = p
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(nearest, pa.list_(pa.int32()))], ["label", "id", "vector", "nearest"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(nearest, pa.list_(pa.int32()))], ["label", "id", "vector", "copies", "nearest"])
 
-    return vectors.select("label", "id", "vector").mapInArrow(work, "label long, id long, vector array<double>, nearest array<int>")
+    return vectors.select("label", "id", "vector", "copies").mapInArrow(work, "label long, id long, vector array<double>, copies long, nearest array<int>")
 
 
-def _pairs(key: tuple, batches: Iterator[pa.RecordBatch], min_shared: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Verified pairs of one cell: of a block with itself, or with another one."""
+def _linked(key: tuple, batches: Iterator[pa.RecordBatch], min_shared: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Of each class that is linked within a cell (a block with itself, or with another one):
+    a, b: the smallest id that the cell's links lead to, and n: how many vectors it is linked with.
+    Pairs stay in the cell; a group of n near copies gives n rows."""
     table = pa.Table.from_batches(list(batches)).combine_chunks()
     pivot, low, high = key[1].as_py(), key[2].as_py(), key[3].as_py()
     found = []
     sizes = np.array([len(v) for v in table["vector"].to_pylist()])
     for size in np.unique(sizes).tolist():
-        own = table.take(pa.array(np.flatnonzero(sizes == size)))
-        ids, block = own["id"].to_numpy(), own["block"].to_numpy()
+        own = table.take(pa.array(np.flatnonzero(sizes == size))).combine_chunks()
+        order = np.argsort(own["id"].to_numpy(), kind="stable")
+        own = own.take(pa.array(order)).combine_chunks()
+        ids, block, copies = own["id"].to_numpy(), own["block"].to_numpy(), own["copies"].to_numpy()
         nearest = own["nearest"].to_pylist()
         width = max(len(p) for p in nearest)
         lists = np.array([p + [-1 - i] * (width - len(p)) for i, p in enumerate(nearest)])
-        vectors = _unit(_matrix(own["vector"].combine_chunks() if isinstance(own["vector"], pa.ChunkedArray) else own["vector"]))
+        vectors = _unit(_matrix(own["vector"].combine_chunks()))
         codes, inverse = np.unique(lists, return_inverse=True)
         member = np.zeros((len(ids), len(codes)), np.float32)
         member[np.arange(len(ids))[:, None], inverse.reshape(lists.shape)] = 1
@@ -84,19 +88,32 @@ def _pairs(key: tuple, batches: Iterator[pa.RecordBatch], min_shared: int, least
         left = np.flatnonzero(block == low)
         right = np.flatnonzero(block == high)
         need = min(min_shared, width)
+        n = np.zeros(len(ids), np.int64)
+        root = np.arange(len(ids))
         for some in np.array_split(left, max(1, len(left) // 500)):
             shared = member[some] @ member[right].T
             first = before[some] @ before[right].T == 0  # else the pair belongs to the list of an earlier pivot
             i, j = np.nonzero((shared >= need) & first)
             i, j = some[i], right[j]
-            once = ids[i] < ids[j] if low == high else ids[i] != ids[j]
+            once = i < j if low == high else i != j
             i, j = i[once], j[once]
-            if len(i):
-                cosine = np.einsum("ij,ij->i", vectors[i], vectors[j])
-                ok = cosine >= least
-                found.append(np.stack([np.minimum(ids[i[ok]], ids[j[ok]]), np.maximum(ids[i[ok]], ids[j[ok]])], 1))
-    out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(out[:, 0], pa.int64()), pa.array(out[:, 1], pa.int64())], ["a", "b"])
+            ok = np.einsum("ij,ij->i", vectors[i], vectors[j]) >= least
+            i, j = i[ok], j[ok]
+            n += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
+            while len(i):  # rows are in order of their ids: the smallest place is the smallest id
+                lowest = np.minimum(root[i], root[j])
+                now = root.copy()
+                for side in (i, j):
+                    np.minimum.at(now, root[side], lowest)
+                    np.minimum.at(now, side, lowest)
+                now = now[now]
+                if (now == root).all():
+                    break
+                root = now
+        some = np.flatnonzero(n)
+        found.append(np.stack([ids[some], ids[root[some]], n[some]], 1))
+    out = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(out[:, i], pa.int64()) for i in range(3)], ["a", "b", "n"])
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", prefix: int = PREFIX, min_shared: int = MIN_SHARED) -> DataFrame:
@@ -126,21 +143,19 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec
         points.setdefault(len(r["vector"]), []).append(r["vector"])
     pivots = spark.sparkContext.broadcast({size: _unit(np.array(v)) for size, v in points.items()})
     described = stored(_permutations(classes, pivots, prefix), "permutations")
-    listed = described.select("label", "id", "vector", "nearest", F.explode("nearest").alias("pivot"))
+    listed = described.select("label", "id", "vector", "copies", "nearest", F.explode("nearest").alias("pivot"))
     lengths = listed.groupBy("label", "pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     # A list of b blocks has b (b + 1) / 2 cells; a vector goes to the cells of its block.
     dealt = listed.join(lengths, ["label", "pivot"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = cells.select("label", "pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "vector", "nearest")
+    cells = cells.select("label", "pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "vector", "copies", "nearest")
 
     def work(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _pairs(key, batches, min_shared, threshold)
+        return _linked(key, batches, min_shared, threshold)
 
-    links = stored(cells.groupBy("label", "pivot", "low", "high").applyInArrow(work, "a long, b long").distinct(), "vector-links")
-    groups = components(links)
-    copies = classes.select("id", "copies")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(copies.toDF("b", "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    links = stored(cells.groupBy("label", "pivot", "low", "high").applyInArrow(work, "a long, b long, n long"), "vector-links")
+    groups = components(links.select("a", "b"))
+    others = links.groupBy("a").agg(F.sum("n").alias("others"))
     by_class = classes.join(others.toDF("id", "others"), "id", "left").join(groups, "id", "left")
     by_class = by_class.select("label", "vector", F.col("copies") - 1 + F.coalesce("others", F.lit(0)), F.coalesce("component", "id")).toDF("label", "vector", "n_links", "component_id")
     member = good.select("vec_id", "label", "vector").join(by_class, ["label", "vector"])
