@@ -415,7 +415,7 @@ def toast_resolve(spark, sf_dir):
     sent = F.struct("doc_id", F.lit(None).cast("string").alias("text"), F.lit("moved").alias("source"))
     even = F.col("doc_id") % 2 == 0
     changes = rows.select(F.when(even, "U").otherwise("I").alias("op"), F.when(even, image).alias("before"), F.when(even, sent).otherwise(image).alias("after"), F.when(even, F.array(F.lit("text"))).otherwise(F.array().cast("array<string>")).alias("unchanged"))
-    return log.resolved(changes).select("after.*").select("doc_id", F.length("text").alias("chars"), F.md5("text").alias("digest"), "source")
+    return log.resolved(changes).select("after.*").select("doc_id", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"), "source")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 8 <> 0 THEN o_custkey END AS as_int, CASE WHEN o_orderkey % 8 <> 0 THEN o_totalprice END AS as_float,
