@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaview.llm import shingles
-from deltaview.llm.runtime import ensure_importable, slices
+from deltaview.llm.runtime import ensure_importable, pieces, slices
 
 #: A block of items has about so many items and characters at most.
 BLOCK_ITEMS, BLOCK_CHARS = 50_000, 32_000_000
@@ -131,7 +131,7 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: tuple[in
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, own = shared.value
             index = index_items(own, k, threshold)
-            for batch in batches:
+            for batch in pieces(batches):
                 doc_ids = batch.column(0).to_pylist()
                 raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
                 found = [(doc_ids[a + t], ids[i], len(index.sets[i]), c, c / len(index.sets[i])) for a, b in slices([len(t) for t in raw], shingles.BLOCK_BYTES) for t, i, c in search(raw[a:b], index, k)]
@@ -154,7 +154,7 @@ def clean(docs: DataFrame, items: DataFrame, k: int = 5, threshold: tuple[int, i
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = index_items(shared.value, k, threshold)
-            for batch in batches:
+            for batch in pieces(batches):
                 raw = [(t or "").encode() for t in batch.column(at).to_pylist()]
                 keep = np.ones(len(raw), bool)
                 for a, b in slices([len(t) for t in raw], shingles.BLOCK_BYTES):

@@ -9,6 +9,7 @@ once, so that a step of the automata is one numpy gather for thousands of blocks
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltaview.llm.runtime import ensure_importable, slices
+from deltaview.llm.runtime import ensure_importable, held, slices
 
 #: The fit: at most so many labelled documents a language, and so many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 128, 256
@@ -161,9 +162,6 @@ def samples(docs: DataFrame, learn: Column) -> dict[str, list[str]]:
     return out
 
 
-_PARSERS: dict[int, tuple[dict[str, list[str]], CrossParser]] = {}
-
-
 def predict(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, lang_pred (a learned language; "und" for null texts,
     texts without a letter, and if nothing was learned), score (0 to 1).
@@ -175,14 +173,10 @@ def predict(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: st
     ensure_importable(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     shared = spark.sparkContext.broadcast(samples(rows, learn))
-    key = id(shared)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        if key not in _PARSERS or _PARSERS[key][0] != own:
-            _PARSERS.clear()
-            _PARSERS[key] = (own, CrossParser(own))
-        parser = _PARSERS[key][1]
+        parser = held(f"language {hashlib.sha256(repr(sorted(own.items())).encode()).hexdigest()}", lambda: CrossParser(own))
         for batch in batches:
             lang, score = parser.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])

@@ -8,20 +8,31 @@ import shutil
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any, TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows that Spark sends a Python worker at once: texts are long, and the JVM, too, holds a whole batch.
+ARROW_ROWS = 2_000
+
+
 def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package when only the driver has it on its path."""
+    """Let Python workers import this package when only the driver has it on its path, and get
+    rows in batches of ARROW_ROWS at most (a setting of the session)."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +70,25 @@ def held_out_py(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
+_HELD: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], T]) -> T:
+    """What a Python worker keeps between tasks: of one operator at a time, as workers outlive
+    stages and their memory is shared by all of them."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of so many rows: texts become Python objects piece by piece."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges whose sizes sum to at most `most`, or single items."""
     begin = total = 0

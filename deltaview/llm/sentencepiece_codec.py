@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaview.llm import bpe
-from deltaview.llm.runtime import ensure_importable, slices
+from deltaview.llm.runtime import ensure_importable, held, pieces, slices
 
 SPACE = "▁"
 #: Symbols from here on stand for a code point that is no piece.
 FOREIGN = 1 << 24
 #: Distinct cuts a worker keeps between blocks; those beyond it are merged anew in each block.
-CACHE = 400_000
-BLOCK_CHARS = 8_000_000
+CACHE = 200_000
+BLOCK_CHARS = 4_000_000
 
 
 def _varint(data: bytes, i: int) -> tuple[int, int]:
@@ -122,7 +122,6 @@ class Model:
 
 _CUT = re.compile(" *[^ \n]+|\n[^ \n]*| +")
 _MODELS: dict[str, Model] = {}
-_CACHE: dict[str, dict[str, tuple[int, str, bytes]]] = {}
 
 
 def cuts_of(text: str) -> list[str]:
@@ -154,7 +153,8 @@ def _fill(cache: dict[str, tuple[int, str, bytes]], m: Model, cuts: Iterable[str
 
 def encode_all(texts: list[str], path: str) -> Iterator[tuple[int, str, bytes]]:
     """For each text: number of ids, the ids joined by commas, the decoded bytes."""
-    m, cache = model(path), _CACHE.setdefault(path, {})
+    m = model(path)
+    cache: dict[str, tuple[int, str, bytes]] = held(f"sentencepiece {path}", dict)
     for begin, end in slices([len(t) for t in texts], BLOCK_CHARS):
         cut = [cuts_of(t) for t in texts[begin:end]]
         new = set().union(*cut).difference(cache)
@@ -188,7 +188,7 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     ensure_importable(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n, ids, decoded = [], [], []
             for count, joined, raw in encode_all(texts, path):
@@ -205,7 +205,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     ensure_importable(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids, decoded = [], []
             for _, joined, raw in encode_all(texts, path):

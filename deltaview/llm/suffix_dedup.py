@@ -41,6 +41,8 @@ LENGTH, GRAM = 100, 30
 SPAN = LENGTH - GRAM + 1
 HOT, PARTS = 4_096, 8
 BLOCK_BYTES = 1_000_000
+#: Segments of a task among which equal ones are collapsed before the shuffle.
+COLLAPSED = 1_000_000
 #: Segments that are sorted together at most, but for those of one anchor; 16 bits must number their anchors.
 COLLECTION = 60_000
 _BYTE = shingles.mix(np.arange(5001, 5257, dtype=U) * U(0xD1B54A32D192ED03))
@@ -109,26 +111,33 @@ def _find(texts: DataFrame) -> DataFrame:
     """Segments as hashes, equal ones of a task collapsed: h, s, doc_id, start, size. Ranges
     that a task knows to be repeated have h null and size their number of strings."""
 
+    def collapsed(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, s, doc, start, size = (np.concatenate(x) for x in zip(*found, strict=True))
+        first, later = _later(h, s, doc, start)
+        both = np.r_[first, later]
+        known = np.r_[np.zeros(len(first), bool), np.ones(len(later), bool)]
+        # Rows known to be repeated only pass through the shuffle: any partition will do.
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.where(known, doc[both] ^ start[both], h[both].view(np.int64))), pa.array(s[both].view(np.int64), mask=known), pa.array(doc[both], pa.int64()), pa.array(start[both], pa.int32()), pa.array(size[both], pa.int32())],
+            ["h", "s", "doc_id", "start", "size"],
+        )
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, ...]] = []
+        rows = 0
         for batch in batches:
             raw = [t or b"" for t in batch.column(1).to_pylist()]
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            found = []
             for a, b in slices([len(t) for t in raw], BLOCK_BYTES):
                 block = Block(raw[a:b])
                 text, anchor, begin, size, h = block.segments()
                 found.append((h, _segment_hash(block, anchor, begin, size), ids[a + text], begin - block.bounds[text], size))
-            if not found:
-                continue
-            h, s, doc, start, size = (np.concatenate(x) for x in zip(*found, strict=True))
-            first, later = _later(h, s, doc, start)
-            both = np.r_[first, later]
-            known = np.r_[np.zeros(len(first), bool), np.ones(len(later), bool)]
-            # Rows known to be repeated only pass through the shuffle: any partition will do.
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(known, doc[both] ^ start[both], h[both].view(np.int64))), pa.array(s[both].view(np.int64), mask=known), pa.array(doc[both], pa.int64()), pa.array(start[both], pa.int32()), pa.array(size[both], pa.int32())],
-                ["h", "s", "doc_id", "start", "size"],
-            )
+                rows += len(h)
+            if rows >= COLLAPSED:
+                yield collapsed(found)
+                found, rows = [], 0
+        if found:
+            yield collapsed(found)
 
     return texts.mapInArrow(work, "h long, s long, doc_id long, start int, size int")
 
@@ -312,17 +321,16 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ensure_importable(spark)
     texts = docs.where(F.octet_length(text_col) >= LENGTH).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = _find(texts).withColumn("known", F.col("s").isNull())
-    whole = Window.partitionBy("h")
-    rows = rows.withColumn("low", F.min("s").over(whole)).withColumn("high", F.max("s").over(whole)).withColumn("many", F.count("s").over(whole))
+    # By anchor and segment, not by anchor: a group has a row from each task at most.
     first = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("h", "s"))
-    rows = rows.where(F.col("known") | (F.col("many") > 1))
-    rows = rows.withColumn("later", F.when(F.col("known"), True).otherwise(F.struct("doc_id", "start") != first))
-    rows = stored(rows.select("h", "doc_id", "start", "size", "later", F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("mixed"), "many", "known"), "segments")
-    mixed = spark.sparkContext.broadcast(_bit_table(rows.where("mixed and not known").select("h").distinct()))
-    hot = spark.sparkContext.broadcast(_bit_table(rows.where(f"mixed and not known and many > {HOT}").select("h").distinct()))
+    rows = _find(texts).withColumn("later", F.col("s").isNull() | (F.struct("doc_id", "start") != first))
+    later = F.col("later")
+    rows = stored(rows.select(F.when(~later, F.col("h")).alias("h"), *(F.when(later, F.col(c)).alias(c) for c in ("doc_id", "start", "size"))), "segments")
+    anchors = stored(rows.where("h is not null").groupBy("h").agg(F.count("*").alias("segments")).where("segments > 1"), "anchors")
+    mixed = spark.sparkContext.broadcast(_bit_table(anchors))
+    hot = spark.sparkContext.broadcast(_bit_table(anchors.where(F.col("segments") > HOT)))
     segments = _gather(texts, mixed, hot).repartition(shuffle_width(spark), "key").sortWithinPartitions("key")
-    ranges = rows.where("later").select("doc_id", "start", "size").unionByName(_sorted_out(segments))
+    ranges = rows.where("doc_id is not null").select("doc_id", "start", "size").unionByName(_sorted_out(segments))
     packed = F.shiftleft(F.col("start").cast("long"), 32) + F.col("start") + F.col("size") + F.lit(LENGTH - 1)
     return ranges.select("doc_id", packed.alias("range")).groupBy("doc_id").agg(F.sort_array(F.collect_list("range")).alias("ranges"))
 

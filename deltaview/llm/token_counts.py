@@ -14,14 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaview.llm.bytelevel import ByteLevel, cut_block, whole
-from deltaview.llm.runtime import ensure_importable, slices
+from deltaview.llm.runtime import ensure_importable, held, slices
 
 #: Distinct cuts a worker keeps between blocks; those beyond it are merged anew in each block.
 CACHE = 700_000
 BLOCK_CHARS = 8_000_000
 
 _FILES: dict[str, ByteLevel] = {}
-_CACHE: dict[str, dict[str, int]] = {}
 
 
 def _counts(spec: ByteLevel, texts: list[str]) -> list[int]:
@@ -35,7 +34,8 @@ def count_all(texts: list[str], path: str) -> Iterator[int]:
     """Number of tokens of each text, as the tokenizers library counts them."""
     if path not in _FILES:
         _FILES[path] = ByteLevel(path)
-    spec, cache = _FILES[path], _CACHE.setdefault(path, {})
+    spec = _FILES[path]
+    cache: dict[str, int] = held(f"token counts {path}", dict)
     for begin, end in slices([len(t) for t in texts], BLOCK_CHARS):
         heads, tails, new = cut_block(texts[begin:end], cache)
         rest: dict[str, int] = {}

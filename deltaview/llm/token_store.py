@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltaview.llm.bytelevel import cut_block, whole
-from deltaview.llm.runtime import ensure_importable, shared_dir, shuffle_width, slices
+from deltaview.llm.runtime import ensure_importable, held, shared_dir, shuffle_width, slices
 
 MAGIC = b"DVTIDS01"
 HEAD = struct.Struct("<8sII32s")
@@ -47,7 +47,6 @@ CACHE = 900_000
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 200, 20_000, 32_768
 
 _TOKENIZERS: dict[str, object] = {}
-_CACHE: dict[str, dict[str, bytes]] = {}
 
 
 def _tokenizer(path: str):
@@ -66,7 +65,8 @@ def _ids(tokenizer, texts: list[str]) -> list[bytes]:
 def encode_all(texts: list[str], path: str) -> Iterator[bytes]:
     """Ids of each text as little-endian u32. The library encodes every distinct cut of a
     block once (see cut_block: no token reaches across); texts that can't be cut, whole."""
-    tokenizer, cache = _tokenizer(path), _CACHE.setdefault(path, {})
+    tokenizer = _tokenizer(path)
+    cache: dict[str, bytes] = held(f"token ids {path}", dict)
     for begin, end in slices([len(t) for t in texts], BLOCK_CHARS):
         heads, tails, new = cut_block(texts[begin:end], cache)
         rest: dict[str, bytes] = {}

@@ -13,6 +13,7 @@ that matter. Labels, languages, sources and ids never enter a score.
 
 from __future__ import annotations
 
+import hashlib
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltaview.llm import shingles
-from deltaview.llm.runtime import ensure_importable, slices
+from deltaview.llm.runtime import ensure_importable, held, pieces, slices
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 6
@@ -34,8 +35,10 @@ EPOCHS, BATCH_DOCS, RATE, SHARPNESS = 4, 32, 0.012, 4.0
 #: A bucket that fewer documents of the sample hold has no embedding, so that no document is learned by heart.
 LEAST_DOCS = 3
 #: Distinct words whose inputs a worker keeps between blocks.
-CACHE = 250_000
+CACHE = 150_000
 BLOCK_CHARS = 4_000_000
+#: Words whose n-grams are hashed together.
+HASHED = 30_000
 #: Windows that run side by side: their states fit a core's cache.
 FORWARD = 2_048
 _EDGES = string.punctuation + string.whitespace + "¡¿«»“”„’…–—"
@@ -276,7 +279,8 @@ class Scorer:
         new = list(set().union(*words).difference(self.rows))
         base = len(self.rows)
         rows = dict(zip(new, range(base, base + len(new)), strict=True))
-        tables = net.projected(net.inputs(hashed([bare(w) for w in new])) if new else np.zeros((0, WORD_DIM + CHAR_DIM), np.float32))
+        inputs = [net.inputs(hashed([bare(w) for w in new[i : i + HASHED]])) for i in range(0, len(new), HASHED)]
+        tables = net.projected(np.concatenate([np.zeros((0, WORD_DIM + CHAR_DIM), np.float32), *inputs]))
         if base:
             tables = {k: np.concatenate([self.tables[k], t]) for k, t in tables.items()}
         if base + len(new) <= CACHE:
@@ -320,16 +324,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     return train([t for t, _ in chosen], [y for _, y in chosen], ones / total if total else 0.0)
 
 
-_SCORERS: dict[bytes, Scorer] = {}
-
-
 def _scorer(net: Net) -> Scorer:
     """The worker's scorer of this net, with the words that it has seen so far."""
-    key = net.p["w"].tobytes() if net.p else repr(net.prior).encode()
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(net)
-    return _SCORERS[key]
+    key = hashlib.sha256(b"".join(x.tobytes() for x in net.p.values())).hexdigest() if net.p else repr(net.prior)
+    return held(f"toxicity {key}", lambda: Scorer(net))
 
 
 def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,7 +343,7 @@ def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "te
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(scorer.scores([t or "" for t in batch.column(1).to_pylist()])), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, score double")
@@ -361,7 +359,7 @@ def accepted(docs: DataFrame, net: Net, threshold: float = 0.3, text_col: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             keep = [s < threshold or not t.strip() for s, t in zip(scorer.scores(texts), texts, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
