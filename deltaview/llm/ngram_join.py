@@ -12,7 +12,7 @@
 4. Every candidate is verified once, on its whole sets.
 
 Candidates come in two rounds. The first takes the sets of a shingle in order of their
-size and tries neighbours, a number linear in the rows, which gathers groups of near
+size and tries near neighbours, a number linear in the rows, which gathers groups of near
 copies. The second tries all candidates whose ends are not in one group by then. So no
 link between groups is lost, and a large group of near copies is not joined with itself.
 """
@@ -28,11 +28,16 @@ from pyspark.sql import functions as F
 
 from deltaview.llm import shingles
 from deltaview.llm.components import components
-from deltaview.llm.runtime import ensure_importable, slices, stored
+from deltaview.llm.runtime import ensure_importable, pieces, slices, stored
 
-#: Slots of the table of counts, and bits of the parity sketch.
+#: Slots of the table of counts, and bits of the coarse parity sketch. The fine one has as many
+#: as the set has shingles or more, as a power of two times these.
 COUNT_BITS, SKETCH_BITS = 20, 512
 _ROWS = 256
+#: The first round tries the sets that stand so far apart among those of a shingle.
+LAGS = (1, 2, 3, 5, 8, 13)
+#: Pairs that one task verifies together, about.
+CELL_PAIRS = 10_000
 
 
 def _count_sketch(texts: DataFrame, k: int) -> np.ndarray:
@@ -40,7 +45,7 @@ def _count_sketch(texts: DataFrame, k: int) -> np.ndarray:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.uint32)
-        for batch in batches:
+        for batch in pieces(batches):
             raw = [(t or "").encode() for t in batch.column(0).to_pylist()]
             for a, b in slices([len(t) for t in raw], shingles.BLOCK_BYTES):
                 flat, _ = shingles.shingle_sets(raw[a:b], k)
@@ -66,12 +71,20 @@ def _need(n: Column, num: int, den: int) -> Column:
     return F.ceil(n * num / den)
 
 
+def _parities(flat: np.ndarray, size: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set, `width` bits: whether an odd number of its shingles end in that bit's number."""
+    begin = np.r_[0, np.cumsum(width)]
+    place = np.repeat(begin[:-1], size) + (flat & np.repeat(width - 1, size).astype(shingles.U)).astype(np.int64)
+    bits = np.bincount(place, minlength=begin[-1]) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64), begin // 64
+
+
 def _set_rows(texts: DataFrame, counts, k: int, num: int, den: int) -> DataFrame:
-    """Per document: doc_id, n (set size), a 128-bit signature of the set, its prefix and its parity sketch."""
+    """Per document: doc_id, n (set size), a 128-bit signature of the set, its prefix and its parity sketches."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counts.value
-        for batch in batches:
+        for batch in pieces(batches):
             raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
             ids = batch.column(0)
             for a, b in slices([len(t) for t in raw], shingles.BLOCK_BYTES):
@@ -79,9 +92,8 @@ def _set_rows(texts: DataFrame, counts, k: int, num: int, den: int) -> DataFrame
                 size = np.diff(begins)
                 total = np.r_[shingles.U(0), np.cumsum(shingles.mix(flat))]
                 other = np.r_[shingles.U(0), np.cumsum(shingles.mix(flat ^ shingles.U(0xA5A5A5A5A5A5A5A5)))]
-                owner = np.repeat(np.arange(b - a), size)
-                bits = np.bincount(owner * SKETCH_BITS + (flat & shingles.U(SKETCH_BITS - 1)).astype(np.int64), minlength=(b - a) * SKETCH_BITS) & 1
-                sketch = np.packbits(bits.astype(np.uint8)).view(np.int64)
+                wide = SKETCH_BITS << np.ceil(np.log2(np.maximum(size, SKETCH_BITS) / SKETCH_BITS)).astype(np.int64)
+                (coarse, coarse_at), (fine, fine_at) = (_parities(flat, size, w) for w in (np.full(b - a, SKETCH_BITS), wide))
                 common = count[(flat >> shingles.U(64 - COUNT_BITS)).astype(np.int64)]
                 keep = np.where(size > 0, size + (-num * size // den) + 1, 0)
                 prefix = [flat[s:e][np.argsort(common[s:e], kind="stable")[:p]] for s, e, p in zip(begins[:-1].tolist(), begins[1:].tolist(), keep.tolist(), strict=True)]
@@ -92,12 +104,13 @@ def _set_rows(texts: DataFrame, counts, k: int, num: int, den: int) -> DataFrame
                         pa.array((total[begins[1:]] - total[begins[:-1]]).view(np.int64)),
                         pa.array((other[begins[1:]] - other[begins[:-1]]).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keep)], pa.int32()), pa.array(np.concatenate([*prefix, np.zeros(0, np.uint64)]).view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * (SKETCH_BITS // 64), pa.int32()), pa.array(sketch)),
+                        pa.ListArray.from_arrays(pa.array(coarse_at, pa.int32()), pa.array(coarse)),
+                        pa.ListArray.from_arrays(pa.array(fine_at, pa.int32()), pa.array(fine)),
                     ],
-                    ["doc_id", "n", "s1", "s2", "prefix", "sketch"],
+                    ["doc_id", "n", "s1", "s2", "prefix", "sketch", "fine"],
                 )
 
-    return texts.mapInArrow(work, "doc_id long, n int, s1 long, s2 long, prefix array<long>, sketch array<long>")
+    return texts.mapInArrow(work, "doc_id long, n int, s1 long, s2 long, prefix array<long>, sketch array<long>, fine array<long>")
 
 
 def _sets_of(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -116,7 +129,7 @@ def _sets_of(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             at = batch.column(2).to_numpy(zero_copy_only=False)
             some = np.flatnonzero((own[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             if not len(some):
@@ -137,22 +150,69 @@ def _differ(a: str, b: str) -> Column:
     return sum(terms[1:], terms[0])
 
 
-def _room(n1: Column, p1: Column, n2: Column, p2: Column, num: int, den: int) -> Column:
-    """Length and positional filter, for n1 <= n2 and a shared shingle in places p1 and p2 from 0."""
-    most = F.least(p1, p2) + F.least(n1 - p1, n2 - p2)
+def _finely_differ(a: str, b: str) -> Column:
+    """The same of fine sketches; the longer one is folded to the length of the other."""
+    fold = f"""aggregate(sequence(1, cast(round(log2(greatest(size({a}), size({b})) / least(size({a}), size({b})))) as int) + 1), if(size({a}) > size({b}), {a}, {b}),
+      (acc, i) -> if(size(acc) > least(size({a}), size({b})), zip_with(slice(acc, 1, size(acc) div 2), slice(acc, size(acc) div 2 + 1, size(acc) div 2), (x, y) -> x ^ y), acc))"""
+    return F.expr(f"aggregate(zip_with({fold}, if(size({a}) > size({b}), {b}, {a}), (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)")
+
+
+def _fitting(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) whose sketches leave room for the overlap."""
+    held = classes.select("rep", "n", "fine")
+    both = pairs.join(held.toDF("a", "n1", "f1"), "a").join(held.toDF("b", "n2", "f2"), "b")
+    return both.where(_finely_differ("f1", "f2") <= F.col("n1") + F.col("n2") - 2 * _need(F.col("n1") + F.col("n2"), num, num + den)).select("a", "b")
+
+
+def _room(n1: Column, p1: Column, n2: Column, p2: Column, num: int, den: int, first: bool) -> Column:
+    """Length and positional filter, for n1 <= n2 and a shared shingle in places p1 and p2 from 0.
+
+    With `first`, whether it can be the first one that two similar sets share: one of the
+    shingles in both prefixes is, so no pair is lost, and few come up more than once.
+    """
+    most = F.least(n1 - p1, n2 - p2)
+    if not first:
+        most = most + F.least(p1, p2)
     return (n1 * den >= n2 * num) & (most >= _need(n1 + n2, num, num + den))
 
 
+def _cells(pairs: DataFrame) -> DataFrame:
+    """Pairs dealt into cells (cell, i, j) such that a text meets most of its partners in one
+    cell: by the smallest id within two steps, and by blocks of ids where that has many pairs."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+    two = both.join(one.toDF("b", "low"), "b").groupBy("a").agg(F.min("low").alias("cell"))
+    placed = stored(pairs.join(two, "a"), "placed")
+    blocks = placed.groupBy("cell").agg(F.ceil(F.sqrt(F.count("*") / CELL_PAIRS)).alias("blocks"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    return placed.join(blocks, "cell").select("cell", block("a").alias("i"), block("b").alias("j"), "a", "b")
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int, name: str) -> DataFrame:
-    """Of pairs (a, b), those whose whole sets have the similarity: a, b, n_common, n_union."""
-    pairs = stored(pairs, f"{name}-candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(_sets_of(texts, ids, k).join(ids, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles")), f"{name}-sets")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("n_common", F.size(F.array_intersect("x", "y")))
-    both = both.select("a", "b", "n_common", (F.size("x") + F.size("y") - F.col("n_common")).alias("n_union"))
-    return both.where(F.col("n_common") * den >= F.col("n_union") * num)
+    """Of pairs (a, b), those whose whole sets have the similarity. A set is sent to a cell
+    once, not once for each pair."""
+    placed = stored(_cells(stored(pairs, f"{name}-candidates")), f"{name}-cells")
+    cell = ["cell", "i", "j"]
+    wanted = placed.select(*cell, F.col("a").alias("id")).unionByName(placed.select(*cell, F.col("b").alias("id"))).distinct()
+    sets = _sets_of(texts, wanted.select("id").distinct(), k).dropDuplicates(["id"])
+    sent = wanted.join(sets, "id").select(*cell, "id", "shingles")
+
+    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = right["shingles"].combine_chunks()
+        flat = held.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        at = np.r_[0, np.cumsum(held.value_lengths().to_numpy(zero_copy_only=False))]
+        place = {x: i for i, x in enumerate(right["id"].to_pylist())}
+        ends = [left["a"].to_pylist(), left["b"].to_pylist()]
+        keep = np.zeros(left.num_rows, bool)
+        for n, (a, b) in enumerate(zip(*ends, strict=True)):
+            a, b = place[a], place[b]
+            x, y = flat[at[a] : at[a + 1]], flat[at[b] : at[b + 1]]
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            keep[n] = common * den >= (len(x) + len(y) - common) * num
+        return left.filter(pa.array(keep)).select(["a", "b"])
+
+    sent = sent.toDF("cell2", "i2", "j2", "id", "shingles")
+    return placed.groupBy(*cell).cogroup(sent.groupBy("cell2", "i2", "j2")).applyInArrow(verify, "a long, b long")
 
 
 def link(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,32 +233,33 @@ def link(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_co
     counts = spark.sparkContext.broadcast(_count_sketch(texts, k))
     sets = stored(_set_rows(texts, counts, k, num, den), "sets")
     linked = sets.where("n > 0 and doc_id is not null")
-    classes = stored(linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "classes")
+    classes = stored(linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine")), "classes")
     # Size and place in one word: fewer bytes to shuffle, and the order that the length filter wants.
     postings = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "rep", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("np"))
     by_token = Window.partitionBy("token").orderBy("np", "rep")
-    near = postings.select("*", F.lag("rep").over(by_token).alias("rep0"), F.lag("np").over(by_token).alias("np0"), F.lead("rep").over(by_token).alias("rep2"))
-    shared = stored(near.where("rep0 is not null or rep2 is not null").drop("rep2"), "shared")
+    near = postings.select("*", F.lag("rep").over(by_token).alias("before"), F.lead("rep").over(by_token).alias("after"))
+    shared = stored(near.where("before is not null or after is not null").select("token", "rep", "np"), "shared")
     size = lambda c: F.shiftright(c, 32)
     place = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    sketches = classes.select("rep", "n", "sketch")
 
-    first = shared.where(F.col("rep0").isNotNull() & (F.col("rep0") != F.col("rep")) & _room(size("np0"), place("np0"), size("np"), place("np"), num, den))
-    first = first.select(F.col("rep0").alias("a"), F.col("rep").alias("b")).distinct()
-    first = first.join(sketches.toDF("a", "n1", "k1"), "a").join(sketches.toDF("b", "n2", "k2"), "b")
-    fits = _differ("k1", "k2") <= F.col("n1") + F.col("n2") - 2 * _need(F.col("n1") + F.col("n2"), num, num + den)
-    edges = stored(_verified(texts, first.where(fits).select("a", "b"), k, num, den, "first").select("a", "b"), "edges")
+    earlier = F.array(*(F.lag(F.struct(F.col("rep").alias("a"), F.col("np").alias("np0")), i).over(by_token) for i in LAGS))
+    tried = shared.select("rep", "np", earlier.alias("earlier")).select("rep", "np", F.explode(F.array_compact("earlier")).alias("x")).select("rep", "np", "x.*")
+    first = tried.where((F.col("a") != F.col("rep")) & _room(size("np0"), place("np0"), size("np"), place("np"), num, den, first=False))
+    first = first.select("a", F.col("rep").alias("b")).distinct()
+    edges = stored(_verified(texts, _fitting(first, classes, num, den), k, num, den, "first"), "edges")
     groups = components(edges)
 
     grouped = shared.select("token", "rep", "np").join(groups.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = grouped.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("token")
-    rest = stored(grouped.join(mixed, "token", "left_semi").join(sketches.select("rep", "sketch"), "rep"), "mixed")
+    rest = stored(grouped.join(mixed, "token", "left_semi").join(classes.select("rep", "sketch"), "rep"), "mixed")
     left, right = rest.toDF("a", "token", "np1", "g1", "k1"), rest.toDF("b", "token", "np2", "g2", "k2")
     n1, n2 = size("np1"), size("np2")
-    room = _room(n1, place("np1"), n2, place("np2"), num, den) & (_differ("k1", "k2") <= n1 + n2 - 2 * _need(n1 + n2, num, num + den))
+    room = _room(n1, place("np1"), n2, place("np2"), num, den, first=True) & (_differ("k1", "k2") <= n1 + n2 - 2 * _need(n1 + n2, num, num + den))
     apart = (F.col("g1") != F.col("g2")) & ((n1 < n2) | ((n1 == n2) & (F.col("a") < F.col("b"))))
-    second = left.join(right, "token").where(apart & room).select("a", "b").distinct()
-    more = _verified(texts, second, k, num, den, "second").select("a", "b")
+    second = stored(left.join(right, "token").where(apart & room).select("a", "b", F.greatest(n1, n2).alias("n")).distinct(), "second")
+    # Sets of so few shingles have no finer sketch than the one just compared.
+    large = _fitting(second.where(F.col("n") > SKETCH_BITS).select("a", "b"), classes, num, den)
+    more = _verified(texts, second.where(F.col("n") <= SKETCH_BITS).select("a", "b").unionByName(large), k, num, den, "second")
     # The first groups stand for their own links.
     groups = components(more.unionByName(groups.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
