@@ -2,8 +2,12 @@
 
 Every vector is described by the PREFIX reference points (pivots) that are nearest to it, in
 order. Inverted lists, one for each pair of label and pivot, bring together the vectors
-that share a pivot; those that share MIN_SHARED of them are candidates, and candidates are
-verified by cosine in double precision, in the list of the first pivot that they share.
+that share a pivot; all pairs of a list are compared by cosine in double precision, and a
+pair counts in the list of the first pivot that it shares.
+
+No two pivots are near copies of each other, so a dense group of vectors holds few of them and
+its members share these. A vector with a pivot close by is also in the lists of all pivots
+that a linked vector may have as its nearest: among such vectors no link is missed.
 
 Equal vectors are one class before anything is listed. Long lists are dealt out in blocks,
 by which a list is compared block against block, so that no task holds a whole list.
@@ -23,7 +27,9 @@ from deltaview.llm.runtime import ensure_importable, stored
 
 #: Pivots are vectors of the table, at most so many: the square root of the number of classes times PER_ROOT.
 MAX_PIVOTS, PER_ROOT = 4_096, 2
-PREFIX, MIN_SHARED = 8, 2
+PREFIX = 8
+#: Pivots have a cosine below APART; a vector whose nearest pivot has CLOSE or more is in the lists of all that a link may lead to.
+APART, CLOSE = 0.7, 0.9
 #: Vectors of a list that one block holds.
 BLOCK = 2_000
 
@@ -39,8 +45,28 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _permutations(vectors: DataFrame, pivots, prefix: int) -> DataFrame:
-    """label, id, vector, copies, and the pivots nearest to it, nearest first."""
+def _apart(x: np.ndarray, most: float = APART) -> np.ndarray:
+    """The unit vectors of x, in their order, without those of a cosine of `most` or more to one that is kept."""
+    kept = x[:0]
+    for part in np.array_split(x, max(1, -(-len(x) // 256))):
+        part = part[(part @ kept.T < most).all(1)]
+        near = part @ part.T >= most
+        some: list[int] = []
+        for i in range(len(part)):
+            if not near[i, some].any():
+                some.append(i)
+        kept = np.concatenate([kept, part[some]])
+    return kept
+
+
+def _permutations(vectors: DataFrame, pivots, prefix: int, least: float) -> DataFrame:
+    """label, id, vector, copies, and the pivots nearest to it, nearest first.
+
+    If x and y link (an angle of at most t) and x is nearer to its nearest pivot (at d) than y
+    is to its own (at e), that pivot is at most d + t <= e + t from y: lists that reach
+    e + t bring x and y together.
+    """
+    link = np.arccos(np.clip(least, -1, 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points = pivots.value
@@ -56,15 +82,18 @@ def _permutations(vectors: DataFrame, pivots, prefix: int) -> DataFrame:
                     continue
                 for part in np.array_split(some, max(1, len(some) // 1_000)):
                     near = _unit(_matrix(batch.column(2).take(pa.array(part)))) @ own.T
-                    top = np.argsort(-near, axis=1, kind="stable")[:, :prefix]
-                    for i, p in zip(part, top, strict=True):
-                        nearest[i] = p
+                    top = np.argsort(-near, axis=1, kind="stable")
+                    best = near.max(1)
+                    reach = np.cos(np.minimum(np.pi, np.arccos(np.clip(best, -1, 1)) + link)) - 1e-9
+                    lists = np.where(best >= CLOSE, np.maximum(prefix, (near >= reach[:, None]).sum(1)), prefix)
+                    for i, p, n in zip(part, top, lists.tolist(), strict=True):
+                        nearest[i] = p[:n]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(nearest, pa.list_(pa.int32()))], ["label", "id", "vector", "copies", "nearest"])
 
     return vectors.select("label", "id", "vector", "copies").mapInArrow(work, "label long, id long, vector array<double>, copies long, nearest array<int>")
 
 
-def _linked(key: tuple, batches: Iterator[pa.RecordBatch], min_shared: int, least: float) -> Iterator[pa.RecordBatch]:
+def _linked(key: tuple, batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Of each class that is linked within a cell (a block with itself, or with another one):
     a, b: the smallest id that the cell's links lead to, and n: how many vectors it is linked with.
     Pairs stay in the cell; a group of n near copies gives n rows."""
@@ -84,26 +113,27 @@ def _linked(key: tuple, batches: Iterator[pa.RecordBatch], min_shared: int, leas
         codes, inverse = np.unique(lists, return_inverse=True)
         member = np.zeros((len(ids), len(codes)), np.float32)
         member[np.arange(len(ids))[:, None], inverse.reshape(lists.shape)] = 1
-        before = member[:, codes < pivot]
+        before = member[:, (codes >= 0) & (codes < pivot)]
         left = np.flatnonzero(block == low)
         right = np.flatnonzero(block == high)
-        need = min(min_shared, width)
         n = np.zeros(len(ids), np.int64)
         root = np.arange(len(ids))
         for some in np.array_split(left, max(1, len(left) // 500)):
-            shared = member[some] @ member[right].T
-            first = before[some] @ before[right].T == 0  # else the pair belongs to the list of an earlier pivot
-            i, j = np.nonzero((shared >= need) & first)
-            i, j = some[i], right[j]
-            once = i < j if low == high else i != j
-            i, j = i[once], j[once]
-            ok = np.einsum("ij,ij->i", vectors[i], vectors[j]) >= least
-            i, j = i[ok], j[ok]
-            n += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
-            while len(i):  # rows are in order of their ids: the smallest place is the smallest id
-                lowest = np.minimum(root[i], root[j])
+            cosine = vectors[some] @ vectors[right].T
+            ok = cosine >= least
+            i, j = np.nonzero(np.abs(cosine - least) < 1e-9)  # these may differ by their sums' order
+            ok[i, j] = np.einsum("ij,ij->i", vectors[some[i]], vectors[right[j]]) >= least
+            if low == high:
+                ok &= some[:, None] < right
+            rows, columns = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+            i, j, ok = some[rows], right[columns], ok[np.ix_(rows, columns)]
+            ok &= before[i] @ before[j].T == 0  # else the pair belongs to the list of an earlier pivot
+            n[i] += ok @ copies[j]
+            n[j] += copies[i] @ ok
+            while ok.any():  # rows are in order of their ids: the smallest place is the smallest id
                 now = root.copy()
-                for side in (i, j):
+                for side, lowest in ((i, np.where(ok, root[j], len(ids)).min(1)), (j, np.where(ok, root[i][:, None], len(ids)).min(0))):
+                    lowest = np.minimum(root[side], lowest)
                     np.minimum.at(now, root[side], lowest)
                     np.minimum.at(now, side, lowest)
                 now = now[now]
@@ -116,7 +146,7 @@ def _linked(key: tuple, batches: Iterator[pa.RecordBatch], min_shared: int, leas
     yield pa.RecordBatch.from_arrays([pa.array(out[:, i], pa.int64()) for i in range(3)], ["a", "b", "n"])
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", prefix: int = PREFIX, min_shared: int = MIN_SHARED) -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", prefix: int = PREFIX) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors of equal, non-null labels link at a cosine of at least threshold (never below
@@ -141,8 +171,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec
     points: dict[int, list] = {}
     for r in drawn:
         points.setdefault(len(r["vector"]), []).append(r["vector"])
-    pivots = spark.sparkContext.broadcast({size: _unit(np.array(v)) for size, v in points.items()})
-    described = stored(_permutations(classes, pivots, prefix), "permutations")
+    pivots = spark.sparkContext.broadcast({size: _apart(_unit(np.array(v))) for size, v in points.items()})
+    described = stored(_permutations(classes, pivots, prefix, threshold), "permutations")
     listed = described.select("label", "id", "vector", "copies", "nearest", F.explode("nearest").alias("pivot"))
     lengths = listed.groupBy("label", "pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     # A list of b blocks has b (b + 1) / 2 cells; a vector goes to the cells of its block.
@@ -151,7 +181,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec
     cells = cells.select("label", "pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "vector", "copies", "nearest")
 
     def work(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _linked(key, batches, min_shared, threshold)
+        return _linked(key, batches, threshold)
 
     links = stored(cells.groupBy("label", "pivot", "low", "high").applyInArrow(work, "a long, b long, n long"), "vector-links")
     groups = components(links.select("a", "b"))

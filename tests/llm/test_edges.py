@@ -311,6 +311,20 @@ def test_embedding_recall(spark):
     assert got.agg(F.sum("n_links")).head()[0] >= 0.9 * 3000
 
 
+@pytest.mark.parametrize("cosine", [0.97, 0.95])
+def test_embedding_group(spark, cosine):
+    """A third of the rows are near copies of each other that all differ: no link among them is missed."""
+    r = np.random.default_rng(4)
+    z = r.normal(size=(2400, 64))
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    z[:800] = cosine**0.5 * z[-1] + (1 - cosine) ** 0.5 * z[:800]
+    x = z / np.linalg.norm(z, axis=1, keepdims=True)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    links = (x @ x.T >= 0.93).sum(1) - 1
+    assert links[:800].sum() > 400_000
+    assert [g["n_links"] for g in sorted(got, key=lambda g: g["vec_id"])] == links.tolist()
+
+
 def test_decontamination(spark, odd, empty):
     passage = prose(40, 77)
     words = passage.split()
