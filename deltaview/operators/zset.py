@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from deltaview.model import DELETE, INSERT, TRUNCATE, UPDATE, WEIGHT
 
+#: Copies of a row that are made at a time.
+EXPAND = 16_384
+
 
 def delta(changes: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """A table's columns and w: +1 for rows that changes put in, -1 for rows they take out.
@@ -48,10 +51,16 @@ def positive(rows: DataFrame) -> DataFrame:
 
 
 def expanded(rows: DataFrame) -> DataFrame:
-    """A canonical view as plain rows, each as often as its weight says."""
+    """A canonical view as plain rows, each as often as its weight says.
+
+    Large weights are split into parts of at most EXPAND copies, dealt out before they are
+    exploded: no task makes all copies of a row, nor holds more than one part's at a time.
+    """
     columns = [c for c in rows.columns if c != WEIGHT]
-    many = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(WEIGHT)))
-    return positive(rows).select(*columns, many.alias("_copy")).drop("_copy")
+    part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(WEIGHT) - 1, F.lit(EXPAND).cast("bigint")))
+    parts = positive(rows).select("*", part.alias("_from")).select(*columns, F.least(F.lit(EXPAND).cast("bigint"), F.col(WEIGHT) - F.col("_from")).alias("_copies"))
+    dealt = parts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias("_copy")).drop("_copy")
 
 
 def equal(a: DataFrame, b: DataFrame) -> bool:

@@ -93,6 +93,15 @@ def test_zset_equal(spark):
     assert sorted(r["x"] for r in zset.expanded(zset.canonical(a)).collect()) == [1, 1, 2]
 
 
+def test_expanded_weights(spark):
+    """Weights of several parts, and one beyond what an array can hold."""
+    weights = {0: 1, 1: zset.EXPAND, 2: zset.EXPAND + 1, 3: 3 * zset.EXPAND, 4: -5, 5: 0}
+    got = zset.expanded(spark.createDataFrame(list(weights.items()), "x long, w long"))
+    assert got.columns == ["x"]
+    assert {r["x"]: r["count"] for r in got.groupBy("x").count().collect()} == {x: w for x, w in weights.items() if w > 0}
+    assert zset.expanded(spark.createDataFrame([(1, 3_000_000_000)], "x long, w long")).count() == 3_000_000_000
+
+
 def test_float_sums(spark):
     values = [2.7, -2.7, float("nan"), 1e300, -1e300, None]
     got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select(truncated(F.col("v")).alias("t"), "i").orderBy("i")
