@@ -4,7 +4,9 @@ For each language, a suffix automaton of a bounded sample of its labelled texts
 A text is cut greedily into the longest phrases that occur in that sample; the fewer
 phrases it takes, each weighted by the logarithm of the sample's length, the closer the
 language. Texts are parsed in blocks of CHUNK code points side by side, all languages at
-once, so that a step of the automata is one numpy gather for thousands of blocks.
+once, so that a step of the automata is one numpy gather for thousands of blocks. Where
+samples hold so many letters that a table of all ways would be too large, the ways
+that there are lie in a hash table, and a step is a few gathers.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from deltaview.llm.runtime import ensure_importable, held, slices
 
 #: The fit: at most so many labelled documents a language, and so many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 128, 256
-#: Symbols: 0 all but letters, 1 letters that the samples don't hold, the rest from there on.
-SYMBOLS = 64
+#: Symbols: 0 all but letters, 1 letters that the samples don't hold, the rest, one for each letter, from there on.
+OTHER = 2
+#: Entries of the table of all ways (states times symbols), at most.
+DENSE = 32_000_000
 CHUNK = 256
 BLOCK_CHARS = 4_000_000
 UNKNOWN = "und"
@@ -33,17 +37,17 @@ _LETTER = regex.compile(r"\p{L}")
 _OVER = np.int32(-(2**31))
 
 
-def automaton(codes: list[int], symbols: int) -> np.ndarray:
-    """The suffix automaton of a sequence as a table [state, symbol] -> next state, -1 if none."""
-    links, size, following = [-1], [0], [[-1] * symbols]
+def automaton(codes: list[int]) -> tuple[int, np.ndarray]:
+    """The suffix automaton of a sequence: number of states, and its ways [state, symbol, next state]."""
+    links, size, following = [-1], [0], [{}]
     last = 0
     for c in codes:
         new = len(size)
         size.append(size[last] + 1)
         links.append(0)
-        following.append([-1] * symbols)
+        following.append({})
         p = last
-        while p >= 0 and following[p][c] < 0:
+        while p >= 0 and c not in following[p]:
             following[p][c] = new
             p = links[p]
         if p >= 0:
@@ -54,13 +58,47 @@ def automaton(codes: list[int], symbols: int) -> np.ndarray:
                 twin = len(size)
                 size.append(size[p] + 1)
                 links.append(links[q])
-                following.append(following[q][:])
-                while p >= 0 and following[p][c] == q:
+                following.append(following[q].copy())
+                while p >= 0 and following[p].get(c) == q:
                     following[p][c] = twin
                     p = links[p]
                 links[q] = links[new] = twin
         last = new
-    return np.array(following, np.int32)
+    ways = [(state, c, to) for state, own in enumerate(following) for c, to in own.items()]
+    return len(size), np.array(ways, np.int64).reshape(-1, 3)
+
+
+class Ways:
+    """A hash table from keys (distinct, not negative) to values, with linear probing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        at = self._place(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of several, one stays
+            put = self.keys[at] == keys
+            self.values[at[put]] = values[put]
+            keys, values, at = keys[~put], values[~put], (at[~put] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 where a key is not in the table."""
+        at = self._place(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], -1)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            there = self.keys[at[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        return out
 
 
 class CrossParser:
@@ -71,29 +109,48 @@ class CrossParser:
         self.languages = sorted(samples)
         joined = {lang: " ".join(samples[lang]).lower() for lang in self.languages}
         letters = Counter(c for text in joined.values() for c in text if c.isalpha())
-        self.code = np.zeros(0x110000, np.uint8)
+        self.symbols = OTHER + len(letters)
+        self.code = np.zeros(0x110000, np.min_scalar_type(self.symbols - 1))
         points = np.arange(0x110000)
         self._letters(points)
-        for i, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2]):
-            for form in {c, *(u for u in (c.upper(), c.title()) if len(u) == 1)}:
-                self.code[ord(form)] = i + 2
-        tables, self.weights, roots = [], [], []
+        for i, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))):
+            for form in {c, *(u for u in (c.upper(), c.title()) if len(u) == 1 and u.lower() == c)}:
+                self.code[ord(form)] = i + OTHER
+        self.weights, roots, built, first = [], [], [], []
         offset = 0
         for lang in self.languages:
             codes = self.codes_of(joined[lang])
-            table = automaton(codes.tolist(), SYMBOLS)
+            states, ways = automaton(codes.tolist())
             # A symbol that the sample lacks is a phrase of its own: the last state leads to new phrases only.
-            again = np.where(table[0] >= 0, table[0], len(table)) + offset
-            root = again.copy()
-            table = np.where(table >= 0, table + offset, again | _OVER)
-            table = np.concatenate([table, (again | _OVER)[None]])
-            table[0] = root
+            root = ways[:, 0] == 0
+            again = np.full(self.symbols, states + offset, np.int32)
+            again[ways[root, 1]] = ways[root, 2] + offset
+            built.append((offset, ways[~root]))
+            first.append(again)
             roots.append(offset)
-            offset += len(table)
-            tables.append(table.astype(np.int32))
+            offset += states + 1
             self.weights.append(np.log2(max(2, len(codes))))
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.roots = np.array(roots, np.int32)
+        self.first = np.stack(first) if first else np.zeros((0, self.symbols), np.int32)
+        self.table = self.ways = None
+        if offset * self.symbols <= DENSE:
+            table = np.repeat(self.first | _OVER, np.diff([*roots, offset]), 0)
+            table[self.roots] = self.first
+            for begin, ways in built:
+                table[ways[:, 0] + begin, ways[:, 1]] = ways[:, 2] + begin
+            self.table = table.ravel()
+        else:
+            self.ways = Ways(np.concatenate([(w[:, 0] + o) * self.symbols + w[:, 1] for o, w in built]), np.concatenate([w[:, 2] + o for o, w in built]))
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray, begins: bool) -> np.ndarray:
+        """The states [language, block] after one symbol of each block, marked where a phrase ends."""
+        if self.table is not None:
+            return self.table.take(state * self.symbols + symbol)
+        again = self.first[:, symbol]
+        if begins:
+            return again
+        to = self.ways.get((state.astype(np.int64) * self.symbols + symbol).ravel()).reshape(state.shape)
+        return np.where(to >= 0, to, again | _OVER)
 
     def _letters(self, points: np.ndarray) -> None:
         """All letters stand for symbol 1 until the samples say otherwise."""
@@ -110,7 +167,7 @@ class CrossParser:
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of phrases [text, language], and of symbols [text]."""
         codes = [self.codes_of(t) for t in texts]
-        flat = np.concatenate([*codes, np.zeros(1, np.uint8)]).astype(np.int32)
+        flat = np.concatenate([*codes, np.zeros(1, self.code.dtype)]).astype(np.int32)
         size = np.array([len(c) for c in codes], np.int64)
         begins = np.r_[0, np.cumsum(size)[:-1]] if len(size) else size
         chunks = -(-size // CHUNK)
@@ -126,7 +183,7 @@ class CrossParser:
             n = int(live[j])
             if not n:
                 break
-            to = self.table.take(state[:, :n] * SYMBOLS + flat[start[:n] + j])
+            to = self._step(state[:, :n], flat[start[:n] + j], j == 0)
             count[:, :n] += to < 0
             state[:, :n] = to & 0x7FFFFFFF
         out = np.stack([np.bincount(owner[order], weights=c, minlength=len(texts)) for c in count], 1) if len(count) else np.zeros((len(texts), 0))

@@ -388,6 +388,31 @@ def test_cross_parsing():
             assert phrases[t, l] == cross_parse(codes, parser.codes_of(" ".join(samples[lang]).lower()).tobytes(), language_id.CHUNK)
 
 
+@pytest.mark.parametrize("dense", [32_000_000, 0])
+def test_many_letters(dense, monkeypatch):
+    """Every letter that the samples hold counts as itself, however rare, by table and by hash."""
+    monkeypatch.setattr(language_id, "DENSE", dense, raising=False)
+    r = random.Random(8)
+    scripts = {"ar": (0x628, 36), "el": (0x3B1, 17), "hy": (0x561, 38), "ka": (0x10D0, 33), "ru": (0x430, 32), "zh": (0x4E00, 400)}
+    samples = {lang: ["".join(chr(first + r.randrange(n)) for _ in range(3)) + " " for _ in range(400)] for lang, (first, n) in scripts.items()}
+    # Two languages of the rarest letters, with words of equal lengths.
+    for lang, first in (("am", 0x1200), ("km", 0x1780)):
+        samples[lang] = ["".join(chr(first + r.randrange(20)) for _ in range(3)) for _ in range(40)]
+    parser = language_id.CrossParser(samples)
+    assert (parser.table is None) == (dense == 0)
+    texts = [" ".join(r.sample(samples[lang], 12)) for lang in parser.languages] + ["mixed \u4e01\u1201 x" * 40, "", "I \u0130"]
+    assert parser.predict(texts[: len(samples)])[0] == parser.languages
+    phrases, size = parser.phrases(texts)
+    for t, text in enumerate(texts):
+        codes = "".join(map(chr, parser.codes_of(text).tolist()))
+        assert size[t] == len(codes)
+        for l, lang in enumerate(parser.languages):
+            sample = "".join(map(chr, parser.codes_of(" ".join(samples[lang]).lower()).tolist()))
+            assert phrases[t, l] == cross_parse(codes, sample, language_id.CHUNK)
+    letters = {c for own in samples.values() for x in own for c in x if c.isalpha()}
+    assert len(set(parser.codes_of("".join(sorted(letters))).tolist())) == len(letters)
+
+
 def test_language_id(spark, odd, empty):
     everything = F.lit(True)
     out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(odd, everything).collect()}
