@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from deltaview.llm.runtime import ensure_importable, held, slices
 
-#: The fit: at most so many labelled documents a language, and so many characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 128, 256
+#: The fit: at most so many labelled documents a language, and so many characters of each, from so many places of it.
+SAMPLE_DOCS, SAMPLE_CHARS, PLACES = 128, 256, 4
 #: Symbols: 0 all but letters, 1 letters that the samples don't hold, the rest, one for each letter, from there on.
 OTHER = 2
 #: Entries of the table of all ways (states times symbols), at most.
@@ -208,10 +208,22 @@ class CrossParser:
         return lang, score
 
 
+def _spread() -> Column:
+    """Texts of up to SAMPLE_CHARS characters whole; of longer ones, a piece at a place of
+    each of PLACES equal parts, chosen by a hash of doc_id and length."""
+    size, piece = F.length("text"), SAMPLE_CHARS // PLACES
+    pieces = []
+    for i in range(PLACES):
+        begin, end = F.floor(size * i / PLACES), F.floor(size * (i + 1) / PLACES)
+        at = begin + F.pmod(F.xxhash64("doc_id", size, F.lit(i)), end - begin - piece + 1)
+        pieces.append(F.col("text").substr((at + 1).cast("int"), F.lit(piece)))
+    return F.when(size <= SAMPLE_CHARS, F.col("text")).otherwise(F.concat_ws(" ", *pieces))
+
+
 def samples(docs: DataFrame, learn: Column) -> dict[str, list[str]]:
     """By language, up to SAMPLE_DOCS labelled texts where `learn` holds, in the order of a
-    hash of doc_id and text, SAMPLE_CHARS characters of each."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id", F.substring("text", 1, SAMPLE_CHARS)).alias("h"))
+    hash of doc_id and text, SAMPLE_CHARS characters of each, spread over the whole text."""
+    rows = docs.where(learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", _spread().alias("text"), F.xxhash64("doc_id", F.substring("text", 1, SAMPLE_CHARS)).alias("h"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     out: dict[str, list[str]] = {}
     for r in rows.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_DOCS).orderBy("lang", "nth").collect():

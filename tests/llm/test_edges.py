@@ -422,3 +422,27 @@ def test_language_id(spark, odd, empty):
     assert {r["lang_pred"] for r in unlearned.collect()} == {"und"}
     digits = spark.createDataFrame([(1, "123 456 !!", None), (2, "hello there", "en")], "doc_id long, text string, lang string")
     assert {r["doc_id"]: r["lang_pred"] for r in language_id.predict(digits, everything).collect()} == {1: "und", 2: "en"}
+
+
+def test_language_id_header(spark):
+    """Documents of every language that open with the same header: what is learned lies behind it, too."""
+    r = random.Random(6)
+    words = {lang: ["".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(60)] for lang, letters in (("x", "abcdefghijkl"), ("y", "efghijklmnop"), ("z", "ijklmnopqrst"))}
+    header = prose(100, 12)[:300]
+    assert len(header) == 300
+
+    def body(lang, n):
+        return " ".join(r.choice(words[lang]) for _ in range(n))
+
+    rows = [(i, header + " " + body(lang, 300), lang) for i, lang in enumerate(["x", "y", "z"] * 20)]
+    held = [(100 + i, body(lang, 30), lang) for i, lang in enumerate(["x", "y", "z"] * 10)]
+    docs = spark.createDataFrame(rows + held, "doc_id long, text string, lang string")
+    got = {d["doc_id"]: d["lang_pred"] for d in language_id.predict(docs, F.col("doc_id") < 100).collect()}
+    assert [got[i] for i, _, _ in held] == [lang for _, _, lang in held]
+    taken = language_id.samples(docs, F.col("doc_id") < 100)
+    for lang, texts in taken.items():
+        whole = [t for _, t, l in rows if l == lang]
+        for t in texts:
+            size = language_id.SAMPLE_CHARS // language_id.PLACES
+            pieces = [t[i : i + size] for i in range(0, len(t), size + 1)]
+            assert len(pieces) == language_id.PLACES and any(all(p in w for p in pieces) for w in whole)
