@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -29,53 +30,104 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deltaview.llm.bytelevel import cut_block, whole
+from deltaview.llm.bytelevel import byte_letters, read_spec, split_heads, whole
 from deltaview.llm.runtime import ensure_importable, held, shared_dir, shuffle_width, slices
 
 MAGIC = b"DVTIDS01"
 HEAD = struct.Struct("<8sII32s")
 SHARD_BYTES = 4_000_000
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 #: Distinct cuts a worker keeps between blocks; those beyond it are encoded anew in each block.
 CACHE = 900_000
 #: The dictionary is trained on at most so many documents, of at most so many characters each.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 200, 20_000, 32_768
 
-_TOKENIZERS: dict[str, object] = {}
+#: Cuts that are a run of Latin letters: a line feed before it or none, and punctuation behind it or none.
+_WORD = re.compile(r"(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?)\"]*)")
 
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    return _TOKENIZERS[path]
+class Encoder:
+    """The tokenizers library over a byte-level BPE file.
 
+    Its pre-tokenizer takes longer than its BPE model. A run of Latin letters behind a space, or
+    behind a text's cut, is one pre-token whatever surrounds it, as is the punctuation after
+    it: these go to the library's model at once, everything else through the whole library.
+    """
 
-def _ids(tokenizer, texts: list[str]) -> list[bytes]:
-    return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
+    def __init__(self, path: str, width: int = 4):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
 
-def encode_all(texts: list[str], path: str) -> Iterator[bytes]:
-    """Ids of each text as little-endian u32. The library encodes every distinct cut of a
-    block once (see cut_block: no token reaches across); texts that can't be cut, whole."""
-    tokenizer = _tokenizer(path)
-    cache: dict[str, bytes] = held(f"token ids {path}", dict)
+        read_spec(path)
+        self.library = Tokenizer.from_file(path)
+        self.kind = np.dtype(f"<u{width}")
+        self.code = {2: "H", 4: "I"}[width]
+        self.letters = byte_letters()
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, little-endian, in the given width."""
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def cuts(self, cuts: list[str]) -> list[bytes]:
+        """Ids of cuts (see split_heads), each distinct word and each distinct end of one encoded once."""
+        found = [m and m.groups() for m in map(_WORD.fullmatch, cuts)]
+        pre_tokens = {x for f in found if f for x in (f[0], f[1] if f[0] else " " + f[1], f[2])}
+        tokenize, letters, code = self.library.model.tokenize, self.letters, self.code
+        known = {x: array(code, [t.id for t in tokenize(x.encode().decode("latin-1").translate(letters))]).tobytes() for x in pre_tokens}
+        odd = iter(self.whole(whole([c for c, f in zip(cuts, found, strict=True) if not f])))
+        return [known[f[0]] + known[f[1] if f[0] else " " + f[1]] + known[f[2]] if f else next(odd) for f in found]
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, width: int = 4) -> Encoder:
+    if (path, width) not in _ENCODERS:
+        _ENCODERS[path, width] = Encoder(path, width)
+    return _ENCODERS[path, width]
+
+
+def _block(texts: list[str], own: Encoder, cache: dict[str, bytes]) -> Iterator[bytes]:
+    heads, bodies = split_heads(texts)
+    lists = pc.split_pattern(pa.array(bodies, pa.string()), " ")
+    cuts = lists.flatten().dictionary_encode()
+    distinct = cuts.dictionary.to_pylist()
+    found = list(map(cache.get, distinct))
+    new = [i for i, ids in enumerate(found) if ids is None]
+    for some, few in slices([1] * len(new), 50_000):
+        names = [distinct[i] for i in new[some:few]]
+        encoded = own.cuts(names)
+        for i, ids in zip(new[some:few], encoded, strict=True):
+            found[i] = ids
+        if len(cache) + len(names) <= CACHE:
+            cache.update(zip(names, encoded, strict=True))
+    size = np.fromiter(map(len, found), np.int64, len(found)) // own.kind.itemsize
+    flat, begin = np.frombuffer(b"".join(found), own.kind), np.cumsum(size) - size
+    index = cuts.indices.to_numpy()
+    many = size[index]
+    ends = np.r_[0, np.cumsum(many)]
+    ids = flat[np.repeat(begin[index] - ends[:-1], many) + np.arange(ends[-1])]
+    bounds = ends[lists.offsets.to_numpy()].tolist()
+    place = 0
+    for head, body in zip(own.whole(heads), bodies, strict=True):
+        yield head + ids[bounds[place] : bounds[place + 1]].tobytes() if body is not None else head
+        place += 1
+
+
+def encode_all(texts: list[str], path: str, width: int = 4) -> Iterator[bytes]:
+    """Ids of each text, little-endian, `width` bytes each. The library encodes every distinct cut
+    of a block once (see split_heads: no token reaches across); texts that can't be cut, whole.
+    Cuts are told apart and put together again in arrays, not one by one."""
+    own = encoder(path, width)
+    cache: dict[str, bytes] = held(f"token ids {path} {width}", dict)
     for begin, end in slices([len(t) for t in texts], BLOCK_CHARS):
-        heads, tails, new = cut_block(texts[begin:end], cache)
-        rest: dict[str, bytes] = {}
-        kept = cache if len(cache) + len(new) <= CACHE else rest
-        for some, few in slices([1] * len(new), 50_000):
-            kept.update(zip(new[some:few], _ids(tokenizer, whole(new[some:few])), strict=True))
-        get = cache.get
-        for head, tail in zip(_ids(tokenizer, heads), tails, strict=True):
-            yield head + b"".join([get(c) or rest[c] for c in tail])
+        yield from _block(texts[begin:end], own, cache)
 
 
 def _codec_dict(data: bytes) -> zstandard.ZstdCompressionDict | None:
@@ -110,9 +162,14 @@ class ShardWriter:
         self.size = 0
 
     def add(self, doc_id: int, ids: bytes) -> None:
+        """A document by its ids as little-endian u32."""
+        self.add_narrow(doc_id, narrow(ids, self.width))
+
+    def add_narrow(self, doc_id: int, ids: bytes) -> None:
+        """A document by its ids in the shard's width."""
         self.doc_ids.append(doc_id)
-        self.counts.append(len(ids) // 4)
-        self.frames.append(self.codec.compress(narrow(ids, self.width)))
+        self.counts.append(len(ids) // self.width)
+        self.frames.append(self.codec.compress(ids))
         self.size += len(self.frames[-1])
 
     def close(self) -> bytes:
@@ -172,20 +229,20 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
 
     Null and empty texts hold the end id alone. Rows of one doc_id follow each other in the
     order of a hash of their text. Rows whose doc_id is null come first, under id -2^63. An
-    empty table gives a collection without shards. Other columns are not read.
+    empty table gives a collection without shards. Other columns are not read. Files that
+    split_heads doesn't hold for are refused. The dictionary is trained on SAMPLE_DOCS documents.
     """
     spark = docs.sparkSession
     ensure_importable(spark)
     out = TokenFiles(path or f"{shared_dir(spark)}/deltaview-tokens-{uuid.uuid4().hex}")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    one_in = max(1, docs.count() // SAMPLE_DOCS)
-    chosen = (F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0) & F.length("text").between(1, SAMPLE_CHARS)
-    sample = rows.where(chosen).limit(SAMPLE_DOCS).collect()
-    tokenizer = _tokenizer(tokenizer_path)
-    width = 2 if max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 65_536 else 4
-    dictionary = train_dictionary([narrow(x, width) for x in _ids(tokenizer, [r["text"] for r in sample])])
+    # One pass: every task keeps the SAMPLE_DOCS rows of least hash.
+    fitting = rows.where(F.length("text").between(1, SAMPLE_CHARS))
+    sample = fitting.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_DOCS).collect()
+    width = 2 if max(encoder(tokenizer_path).library.get_vocab_size(with_added_tokens=True), end_id + 1) <= 65_536 else 4
+    dictionary = train_dictionary(encoder(tokenizer_path, width).whole([r["text"] for r in sample]))
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, data binary").write.mode("overwrite").parquet(f"{out.path}/dictionary")
-    end = struct.pack("<I", end_id)
+    end = end_id.to_bytes(width, "little")
     shared = spark.sparkContext.broadcast(dictionary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +253,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([serial], pa.int64()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["part", "serial", "n_tokens", "data"])
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(batch.column(1).to_pylist(), tokenizer_path), strict=True):
-                writer.add(doc_id, ids + end)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(batch.column(1).to_pylist(), tokenizer_path, width), strict=True):
+                writer.add_narrow(doc_id, ids + end)
                 if writer.size >= SHARD_BYTES:
                     yield flushed()
                     serial += 1
@@ -211,7 +268,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
 
 
 def read_tokens(spark: SparkSession, files: TokenFiles) -> DataFrame:
-    """Per document of the files, in their order: doc_id, start (ids before it), n_tokens, ids_crc32."""
+    """Per document of the files, in their order: doc_id, start (ids before it), n_tokens, ids_crc32.
+
+    Each row written gives a row: repeated ones as often as they were written, those of null or
+    empty texts with the end id alone, those of a null doc_id under -2^63. No shards: no rows.
+    """
     ensure_importable(spark)
     shared = spark.sparkContext.broadcast(files.dictionary(spark))
     shards = files.shards(spark)
@@ -238,7 +299,8 @@ def read_tokens(spark: SparkSession, files: TokenFiles) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, files: TokenFiles) -> DataFrame:
-    """Per document of the files: doc_id and its ids, the end id included."""
+    """Per document of the files: doc_id and its ids, the end id included; repeated rows, null and
+    empty texts and null ids as read_tokens has them."""
     ensure_importable(spark)
     shared = spark.sparkContext.broadcast(files.dictionary(spark))
 
