@@ -1,11 +1,17 @@
 """Benchmark decontamination: which short test items stand inside which documents.
 
-Containment of an item (distinct shingles Q) in a document (X) is |Q ∩ X| / |Q|. The search
-is a size-partitioned MinHash search without misses: under one permutation (the mixed
-64-bit hash), an item's signature holds its |Q| - ceil(t |Q|) + 1 smallest values, so that
-any document with containment t or more shares one of them. Documents are dealt into size
-partitions by powers of two of |X|; a partition is probed only with the items that need no
-more shingles than its upper bound. Candidates are verified by exact shingle containment.
+Containment of an item (distinct shingles Q) in a document (X) is |Q ∩ X| / |Q|. The search is a
+size-partitioned MinHash search that can't miss. All hashes are of one permutation (mixed 64 bits).
+
+1. An item must share need = ceil(t |Q|) shingles. Its signature is its |Q| - need + 1 smallest
+   hashes: whatever need of its shingles a document holds, one of these is among them.
+   Ordinary MinHash signatures of a fixed length would miss short items in long documents.
+2. Items are dealt into size partitions by powers of two of need. A partition's signatures
+   reach up to its largest value. Partition p is marked as bit p in one table of hash slots.
+3. A document of |X| shingles can reach the threshold in the partitions of need <= |X| only. Its
+   signature is its hashes up to the largest value of these partitions, and they are
+   looked up in these partitions' bits. What is found there is looked up in the items' signatures.
+4. Candidates are verified by exact shingle containment.
 
 Documents are never shuffled: a block of items (bounded in number and in characters) is
 broadcast, and more items mean more passes over the documents, not a larger broadcast.
@@ -36,12 +42,18 @@ class Items:
     sets: list[np.ndarray]
     words: np.ndarray
     need: np.ndarray
-    values: np.ndarray
+    values: np.ndarray  # signatures, ascending
     owners: np.ndarray
-    filter: np.ndarray
+    partitions: np.ndarray  # by hash slot: the size partitions that hold a signature there, as bits
+    reach: np.ndarray  # by size partition: the largest value of its signatures and of smaller ones'
     widths: list[int]
 
 
+def size_partition(n: np.ndarray) -> np.ndarray:
+    """The power of two that n does not exceed, at most 31."""
+    return np.minimum(31, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+
+
 def index_items(texts: list[str | None], k: int, threshold: tuple[int, int]) -> Items:
     words, bounds = shingles.word_hashes([(t or "").encode() for t in texts])
     flat, begins = shingles.distinct_sorted(*shingles.shingle_hashes(words, bounds, k))
@@ -52,10 +64,13 @@ def index_items(texts: list[str | None], k: int, threshold: tuple[int, int]) ->
     signed = rank <= np.repeat(size - need, size)
     values, owners = flat[signed], np.repeat(np.arange(len(texts)), size)[signed]
     order = np.argsort(values, kind="stable")
-    found = np.zeros(1 << _BITS, bool)
-    found[(values >> shingles.U(64 - _BITS)).astype(np.int64)] = True
+    values, owners = values[order], owners[order]
+    at = size_partition(need)[owners]
+    partitions, reach = np.zeros(1 << _BITS, np.uint32), np.zeros(32, np.uint64)
+    np.bitwise_or.at(partitions, (values >> shingles.U(64 - _BITS)).astype(np.int64), np.uint32(1) << at.astype(np.uint32))
+    np.maximum.at(reach, at, values)
     count = np.diff(bounds)
-    return Items(sets, count, need, values[order], owners[order], found, sorted({int(c) for c in count[(count > 0) & (count < k)]}))
+    return Items(sets, count, need, values, owners, partitions, np.maximum.accumulate(reach), sorted({int(c) for c in count[(count > 0) & (count < k)]}))
 
 
 def search(texts: list[bytes], items: Items, k: int) -> Iterator[tuple[int, int, int]]:
@@ -69,7 +84,11 @@ def search(texts: list[bytes], items: Items, k: int) -> Iterator[tuple[int, int,
             begins = np.r_[0, np.cumsum(wide)]
             first = np.repeat(bounds[:-1] - begins[:-1], wide) + np.arange(begins[-1])
             hashes = _sequences(words, first, width, k)
-        near = np.flatnonzero(items.filter[(hashes >> shingles.U(64 - _BITS)).astype(np.int64)])
+        size = np.diff(begins)
+        largest = size_partition(size)
+        near = np.flatnonzero(hashes <= np.repeat(items.reach[largest], size))
+        probed = np.repeat(np.uint32(2) << largest.astype(np.uint32), size)[near] - np.uint32(1)  # bits of all partitions up to the largest
+        near = near[items.partitions[(hashes[near] >> shingles.U(64 - _BITS)).astype(np.int64)] & probed > 0]
         if not len(near):
             continue
         left = np.searchsorted(items.values, hashes[near], "left")
@@ -81,9 +100,7 @@ def search(texts: list[bytes], items: Items, k: int) -> Iterator[tuple[int, int,
         pairs = np.unique(np.stack([np.repeat(text, many), items.owners[slots]], 1), axis=0)
         item_words = items.words[pairs[:, 1]]
         pairs = pairs[(item_words >= k) if width == k else (item_words == width)]
-        # Upper bound of the text's size partition: the power of two over its number of shingles.
-        upper = 1 << np.ceil(np.log2(np.diff(begins)[pairs[:, 0]] + 1)).astype(np.int64)
-        pairs = pairs[items.need[pairs[:, 1]] <= upper]
+        pairs = pairs[items.need[pairs[:, 1]] <= size[pairs[:, 0]]]
         last, own = -1, None
         for t, i in pairs.tolist():
             if t != last:
@@ -102,14 +119,21 @@ def _sequences(words: np.ndarray, first: np.ndarray, width: int, k: int) -> np.n
 
 
 def _item_blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[tuple[list, list]]:
-    """Ids and texts of the items, in blocks of bounded size."""
-    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).head()
-    blocks = max(1, -(-total["n"] // BLOCK_ITEMS), -(-total["chars"] // BLOCK_CHARS))
-    for block in range(blocks):
-        some = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else rows
-        some = some.collect()
-        yield [r["item_id"] for r in some], [r["text"] for r in some]
+    """Ids and texts of the items, in blocks cut row by row as they are read: no block is larger
+    than its bounds, or one item. Without items there is one empty block."""
+    ids: list[int | None] = []
+    texts: list[str | None] = []
+    chars, empty = 0, True
+    for row in items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).toLocalIterator():
+        n = len(row["text"] or "")
+        if ids and (len(ids) == BLOCK_ITEMS or chars + n > BLOCK_CHARS):
+            yield ids, texts
+            ids, texts, chars, empty = [], [], 0, False
+        ids.append(row["item_id"])
+        texts.append(row["text"])
+        chars += n
+    if ids or empty:
+        yield ids, texts
 
 
 def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -144,8 +168,12 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: tuple[in
 
 
 def clean(docs: DataFrame, items: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, that hold no item to the threshold. Rows are
-    judged where they are read; nothing is shuffled."""
+    """The rows of docs, all columns as they are, that hold no item to the threshold (see contained).
+
+    Null and empty texts hold nothing and stay, as does everything if there are no items;
+    repeated rows share one fate; any length is judged whole; a null id means nothing here, and
+    columns may have any name. Rows are judged where they are read; nothing is shuffled.
+    """
     spark = docs.sparkSession
     ensure_importable(spark)
     at, schema = docs.columns.index(text_col), docs.schema

@@ -110,10 +110,14 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM j GROUP BY doc_id"""
 
 _OP8 = "WITH" + _SHINGLES.format(name="d", id="doc_id", table="documents") + "," + _SHINGLES.format(name="q", id="item_id", table="benchmark") + """,
-  sizes AS (SELECT id, count(*) AS n FROM q GROUP BY id),
-  common AS (SELECT d.id AS doc_id, q.id AS item_id, count(*) AS c FROM q JOIN d ON d.s = q.s GROUP BY 1, 2)
+  long AS (SELECT q.* FROM q JOIN q_words w ON w.id = q.id WHERE len(w.w) >= 5),
+  sizes AS (SELECT id, count(*) AS n FROM long GROUP BY id),
+  common AS (SELECT d.id AS doc_id, q.id AS item_id, count(*) AS c FROM long q JOIN d ON d.s = q.s GROUP BY 1, 2)
 SELECT doc_id, item_id, n AS n_shingles, c AS n_common, c::DOUBLE / n AS containment
-FROM common JOIN sizes ON sizes.id = item_id WHERE 5 * c >= 4 * n"""
+FROM common JOIN sizes ON sizes.id = item_id WHERE 5 * c >= 4 * n
+UNION ALL
+SELECT d.id, q.id, 1, 1, 1.0::DOUBLE
+FROM q_words q JOIN d_words d ON contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(q.w, ' ') || ' ') WHERE len(q.w) BETWEEN 1 AND 4"""
 
 
 def oracle_sql() -> dict[str, str]:
