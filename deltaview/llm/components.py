@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaview.llm.runtime import stored
+from deltaview.llm.runtime import forget, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now = stored(now.distinct(), name)
     mark = _fingerprint(now)
     while mark[0]:
-        now = stored(_small_star(_large_star(now)), name)
+        last_table, now = now, stored(_small_star(_large_star(now)), name)
+        forget(last_table)
         last, mark = mark, _fingerprint(now)
         if mark == last:
             break

@@ -13,8 +13,13 @@
 
 Candidates come in two rounds. The first takes the sets of a shingle in order of their
 size and tries near neighbours, a number linear in the rows, which gathers groups of near
-copies. The second tries all candidates whose ends are not in one group by then. So no
-link between groups is lost, and a large group of near copies is not joined with itself.
+copies. The second tries all candidates whose ends are not in one group by then and that
+the first didn't try. So no link between groups is lost, no pair is verified twice, and a
+large group of near copies is not joined with itself.
+
+No task holds a whole shingle, text or group: in the first round the sets of a frequent
+shingle are dealt into parts, other ones for each shingle; in the second they are compared
+block by block; pairs to verify are dealt into cells of bounded numbers of pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 
 from deltaview.llm import shingles
 from deltaview.llm.components import components
-from deltaview.llm.runtime import ensure_importable, pieces, slices, stored
+from deltaview.llm.runtime import ensure_importable, forget, pieces, slices, stored
 
 #: Slots of the table of counts, and bits of the coarse parity sketch. The fine one has as many
 #: as the set has shingles or more, as a power of two times these.
@@ -38,6 +43,10 @@ _ROWS = 256
 LAGS = (1, 2, 3, 5, 8, 13)
 #: Pairs that one task verifies together, about.
 CELL_PAIRS = 10_000
+#: Sets of one shingle that one task orders or joins together, about.
+TOKEN_SETS = 2_000
+#: Ids that a bit table is made for, and rows of a small table that is sent to all tasks, at most.
+TABLE_IDS, SMALL = 16_000_000, 100_000
 
 
 def _count_sketch(texts: DataFrame, k: int) -> np.ndarray:
@@ -116,10 +125,14 @@ def _set_rows(texts: DataFrame, counts, k: int, num: int, den: int) -> DataFrame
 def _sets_of(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, shingles) of the documents whose id is in ids, and of a few others.
 
-    A bit table of the ids, 16 bits for each up to 2^28 bits (32 MB), goes to all tasks, so
-    that texts are not shuffled; what it lets through besides is dropped by the join.
+    A bit table of up to TABLE_IDS ids, 16 bits for each (32 MB), goes to all tasks, so that
+    texts are not shuffled; what it lets through besides is dropped by the join. For more ids
+    than that texts and ids are shuffled by id.
     """
-    bits = min(28, max(16, (16 * ids.count()).bit_length()))
+    n = ids.count()
+    if n > TABLE_IDS:
+        return _shingled(texts.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi"), k)
+    bits = min(28, max(16, (16 * n).bit_length()))
     slot = F.shiftrightunsigned(F.xxhash64("id"), 64 - bits)
     words = ids.select(F.shiftright(slot, 15).alias("word"), (slot % 32_768).alias("bit")).groupBy("word").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     table = np.zeros(1 << (bits - 3), np.uint8)
@@ -127,23 +140,35 @@ def _sets_of(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         table[r["word"] * 4096 : (r["word"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     shared = texts.sparkSession.sparkContext.broadcast(table)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in pieces(batches):
             at = batch.column(2).to_numpy(zero_copy_only=False)
             some = np.flatnonzero((own[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             if not len(some):
                 continue
-            raw = [(t or "").encode() for t in batch.column(1).take(pa.array(some)).to_pylist()]
-            chosen = batch.column(0).take(pa.array(some))
-            for a, b in slices([len(t) for t in raw], shingles.BLOCK_BYTES):
-                flat, begins = shingles.shingle_sets(raw[a:b], k)
-                yield pa.RecordBatch.from_arrays([chosen.slice(a, b - a), pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(flat.view(np.int64)))], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(some)) for i in (0, 1)], ["id", "text"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _sets(chosen(batches), k)
 
     hashed = texts.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "text").select("id", "text", slot.alias("slot"))
     return hashed.mapInArrow(work, "id long, shingles array<long>")
 
 
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(id, shingles) of (id, text)."""
+    for batch in pieces(batches):
+        raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
+        for a, b in slices([len(t) for t in raw], shingles.BLOCK_BYTES):
+            flat, begins = shingles.shingle_sets(raw[a:b], k)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(flat.view(np.int64)))], ["id", "shingles"])
+
+
+def _shingled(texts: DataFrame, k: int) -> DataFrame:
+    return texts.mapInArrow(lambda batches: _sets(batches, k), "id long, shingles array<long>")
+
+
 def _differ(a: str, b: str) -> Column:
     """Bits in which two parity sketches differ."""
     terms = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)]
@@ -176,22 +201,35 @@ def _room(n1: Column, p1: Column, n2: Column, p2: Column, num: int, den: int, fi
     return (n1 * den >= n2 * num) & (most >= _need(n1 + n2, num, num + den))
 
 
-def _cells(pairs: DataFrame) -> DataFrame:
-    """Pairs dealt into cells (cell, i, j) such that a text meets most of its partners in one
-    cell: by the smallest id within two steps, and by blocks of ids where that has many pairs."""
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be sent to all tasks if it has SMALL rows at most, else joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def _placed(pairs: DataFrame) -> DataFrame:
+    """Pairs with a cell such that a text meets most of its partners in one cell: the smallest id within two steps."""
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     one = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
     two = both.join(one.toDF("b", "low"), "b").groupBy("a").agg(F.min("low").alias("cell"))
-    placed = stored(pairs.join(two, "a"), "placed")
-    blocks = placed.groupBy("cell").agg(F.ceil(F.sqrt(F.count("*") / CELL_PAIRS)).alias("blocks"))
-    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
-    return placed.join(blocks, "cell").select("cell", block("a").alias("i"), block("b").alias("j"), "a", "b")
+    return pairs.join(two, "a")
+
+
+def _cells(placed: DataFrame) -> DataFrame:
+    """Pairs as (cell, i, j, a, b): a cell of many pairs is split into blocks of a and of b, more of the side that has more texts."""
+    counts = placed.groupBy("cell").agg((F.count("*") / CELL_PAIRS).alias("parts")).where("parts > 1")
+    sides = placed.join(_small(counts), "cell").groupBy("cell").agg(F.first("parts").alias("parts"), F.approx_count_distinct("a").alias("as"), F.approx_count_distinct("b").alias("bs"))
+    by_a = F.least(F.ceil(F.sqrt(F.col("parts") * F.col("as") / F.col("bs"))), F.ceil("parts")).alias("by_a")
+    large = sides.select("cell", "parts", by_a).select("cell", "by_a", F.ceil(F.col("parts") / F.col("by_a")).alias("by_b"))
+    block = lambda c, n: F.coalesce(F.pmod(F.xxhash64(c), F.col(n)), F.lit(0).cast("long"))
+    return placed.join(_small(large), "cell", "left").select("cell", block("a", "by_a").alias("i"), block("b", "by_b").alias("j"), "a", "b")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int, name: str) -> DataFrame:
-    """Of pairs (a, b), those whose whole sets have the similarity. A set is sent to a cell
-    once, not once for each pair."""
-    placed = stored(_cells(stored(pairs, f"{name}-candidates")), f"{name}-cells")
+    """Of pairs (a, b), those whose whole sets have the similarity, as a stored table. A set is
+    sent to a cell once, not once for each pair."""
+    candidates = stored(pairs, f"{name}-candidates")
+    dealt = stored(_placed(candidates), f"{name}-placed")
+    placed = stored(_cells(dealt), f"{name}-cells")
     cell = ["cell", "i", "j"]
     wanted = placed.select(*cell, F.col("a").alias("id")).unionByName(placed.select(*cell, F.col("b").alias("id"))).distinct()
     sets = _sets_of(texts, wanted.select("id").distinct(), k).dropDuplicates(["id"])
@@ -212,7 +250,9 @@ def _verified(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int, na
         return left.filter(pa.array(keep)).select(["a", "b"])
 
     sent = sent.toDF("cell2", "i2", "j2", "id", "shingles")
-    return placed.groupBy(*cell).cogroup(sent.groupBy("cell2", "i2", "j2")).applyInArrow(verify, "a long, b long")
+    out = stored(placed.groupBy(*cell).cogroup(sent.groupBy("cell2", "i2", "j2")).applyInArrow(verify, "a long, b long"), name)
+    forget(candidates, dealt, placed)
+    return out
 
 
 def link(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,32 +276,52 @@ def link(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_co
     classes = stored(linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine")), "classes")
     # Size and place in one word: fewer bytes to shuffle, and the order that the length filter wants.
     postings = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "rep", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("np"))
-    by_token = Window.partitionBy("token").orderBy("np", "rep")
-    near = postings.select("*", F.lag("rep").over(by_token).alias("before"), F.lead("rep").over(by_token).alias("after"))
-    shared = stored(near.where("before is not null or after is not null").select("token", "rep", "np"), "shared")
     size = lambda c: F.shiftright(c, 32)
     place = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    slot = F.shiftrightunsigned("token", 64 - COUNT_BITS)
+    slots = stored(postings.groupBy(slot.alias("slot")).agg(F.count("*").alias("held")), "slots")
+    most = F.greatest(F.lit(TOKEN_SETS).cast("double"), slots.agg(F.coalesce(F.sum("held"), F.lit(0)) / (1 << (COUNT_BITS - 2))).scalar())
+    frequent = F.broadcast(slots.select("slot", F.ceil(F.col("held") / most).alias("parts")).where("parts > 1"))  # 2^COUNT_BITS rows at most
+    # Sets of a frequent shingle are dealt into parts by a hash of both, so that other shingles bring other ones together.
+    dealt = postings.withColumn("slot", slot).join(frequent, "slot", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("token", "rep"), F.col("parts"))))
+    by_token = Window.partitionBy("token", "part").orderBy("np", "rep")
+    near = dealt.select("token", "part", "rep", "np", F.lag("rep").over(by_token).alias("before"), F.lead("rep").over(by_token).alias("after"))
+    shared = stored(near.where("part is not null or before is not null or after is not null").select("token", "part", "rep", "np"), "shared")
 
     earlier = F.array(*(F.lag(F.struct(F.col("rep").alias("a"), F.col("np").alias("np0")), i).over(by_token) for i in LAGS))
     tried = shared.select("rep", "np", earlier.alias("earlier")).select("rep", "np", F.explode(F.array_compact("earlier")).alias("x")).select("rep", "np", "x.*")
     first = tried.where((F.col("a") != F.col("rep")) & _room(size("np0"), place("np0"), size("np"), place("np"), num, den, first=False))
-    first = first.select("a", F.col("rep").alias("b")).distinct()
-    edges = stored(_verified(texts, _fitting(first, classes, num, den), k, num, den, "first"), "edges")
+    first = first.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+    first = stored(_fitting(first, classes, num, den), "first")
+    edges = _verified(texts, first, k, num, den, "edges")
     groups = components(edges)
+    forget(edges)
 
     grouped = shared.select("token", "rep", "np").join(groups.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = grouped.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("token")
-    rest = stored(grouped.join(mixed, "token", "left_semi").join(classes.select("rep", "sketch"), "rep"), "mixed")
-    left, right = rest.toDF("a", "token", "np1", "g1", "k1"), rest.toDF("b", "token", "np2", "g2", "k2")
+    mixed = grouped.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.ceil(F.count("*") / TOKEN_SETS).alias("blocks")).where("c1 <> c2").select("token", "blocks")
+    mixed = stored(mixed, "mixed")
+    rest = stored(grouped.join(_small(mixed), "token").join(classes.select("rep", "sketch"), "rep"), "rest")
+    # Block i of a frequent shingle meets the blocks from i on: a set goes to as many tasks as there are blocks.
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    every = lambda low, high: F.explode(F.sequence(low, high))
+    left = rest.withColumn("i", block).withColumn("j", every(F.col("i"), F.col("blocks") - 1)).select("token", "i", "j", F.col("rep").alias("a"), F.col("np").alias("np1"), F.col("component").alias("g1"), F.col("sketch").alias("k1"))
+    right = rest.withColumn("j", block).withColumn("i", every(F.lit(0).cast("long"), F.col("j"))).select("token", "i", "j", F.col("rep").alias("b"), F.col("np").alias("np2"), F.col("component").alias("g2"), F.col("sketch").alias("k2"))
     n1, n2 = size("np1"), size("np2")
-    room = _room(n1, place("np1"), n2, place("np2"), num, den, first=True) & (_differ("k1", "k2") <= n1 + n2 - 2 * _need(n1 + n2, num, num + den))
-    apart = (F.col("g1") != F.col("g2")) & ((n1 < n2) | ((n1 == n2) & (F.col("a") < F.col("b"))))
-    second = stored(left.join(right, "token").where(apart & room).select("a", "b", F.greatest(n1, n2).alias("n")).distinct(), "second")
+    # _room wants the smaller set first; within a block each pair comes in both orders.
+    ordered = (n1 < n2) | ((n1 == n2) & (F.col("a") < F.col("b")))
+    fits = F.when(ordered, _room(n1, place("np1"), n2, place("np2"), num, den, first=True)).otherwise(_room(n2, place("np2"), n1, place("np1"), num, den, first=True))
+    once = (F.col("i") < F.col("j")) | ordered
+    room = fits & (_differ("k1", "k2") <= n1 + n2 - 2 * _need(n1 + n2, num, num + den))
+    found = left.join(right, ["token", "i", "j"]).where((F.col("g1") != F.col("g2")) & once & room)
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.greatest(n1, n2).alias("n")).distinct()
+    second = stored(found.join(first, ["a", "b"], "left_anti"), "second")
     # Sets of so few shingles have no finer sketch than the one just compared.
     large = _fitting(second.where(F.col("n") > SKETCH_BITS).select("a", "b"), classes, num, den)
-    more = _verified(texts, second.where(F.col("n") <= SKETCH_BITS).select("a", "b").unionByName(large), k, num, den, "second")
+    more = _verified(texts, second.where(F.col("n") <= SKETCH_BITS).select("a", "b").unionByName(large), k, num, den, "more")
+    forget(slots, shared, first, mixed, rest, second)
     # The first groups stand for their own links.
     groups = components(more.unionByName(groups.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    forget(more)
 
     members = sets.select("doc_id", "n", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left")
     out = members.join(groups.toDF("rep", "component"), "rep", "left")

@@ -26,12 +26,13 @@ ARROW_ROWS = 2_000
 
 def ensure_importable(spark: SparkSession) -> None:
     """Let Python workers import this package when only the driver has it on its path, and get
-    rows in batches of ARROW_ROWS at most (a setting of the session)."""
+    rows in batches of ARROW_ROWS at most. That is a setting of the session, as plans read it when
+    they run; it is made only in sessions that don't set it themselves."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+    if rows not in spark.conf.getAll:
         spark.conf.set(rows, str(ARROW_ROWS))
 
 
@@ -49,12 +50,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back: lineage ends here,
-    and a lost executor costs at most the tasks that read it."""
+    and a lost executor costs at most the tasks that read it. Tables of an application share
+    a folder, so that what a caller still reads can be removed when the application is done."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/deltaview-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/deltaview-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._deltaview_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._deltaview_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
