@@ -6,7 +6,8 @@ anchor, and a document is a chain of segments, each the strings of one anchor.
 
 1. Segments are found in every document and shuffled as hashes: (anchor, segment, doc_id,
    start). Of equal segments only the first one keeps anything. An anchor with a single
-   distinct segment needs no more.
+   distinct segment needs no more. Segments are called equal by 128 hash bits (64 of the anchor, 64
+   of the whole segment); bytes are not compared again.
 2. Segments of the other anchors are shuffled with their bytes. Those of an anchor form a
    collection, laid side by side with their anchors in one column. The collection's suffixes
    are sorted by inserting one symbol of every segment a round, from the right: a stable
@@ -18,8 +19,10 @@ anchor, and a document is a chain of segments, each the strings of one anchor.
 3. Ranges go back to their documents.
 
 Within a task equal segments are collapsed before the shuffle. An anchor with more than HOT
-segments, as at the ends of a very common passage, is split by place of the strings and by
-the bytes that all strings of those places hold, so that no collection grows with the corpus.
+distinct segments, as at the ends of a very common passage, is split into its columns and what
+they hold: each of its strings is compared for itself, by 128 bits of its two halves, and
+collapsed within tasks like a segment. So a collection holds HOT segments of an anchor at most,
+however large the corpus.
 """
 
 from __future__ import annotations
@@ -39,7 +42,11 @@ U = np.uint64
 #: Strings of LENGTH bytes or more are removed; anchors are strings of GRAM bytes.
 LENGTH, GRAM = 100, 30
 SPAN = LENGTH - GRAM + 1
-HOT, PARTS = 4_096, 8
+HOT = 4_096
+#: Anchors that a bit table of 32 MB is made for, at most; for more, their lists go to the documents by a join.
+TABLE_IDS = 4_000_000
+#: Segments and strings that a task holds before it passes them on.
+HELD_ROWS = 400_000
 BLOCK_BYTES = 1_000_000
 #: Segments of a task among which equal ones are collapsed before the shuffle.
 COLLAPSED = 1_000_000
@@ -159,57 +166,71 @@ def _holds(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (table[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
 
 
-def _gather(texts: DataFrame, mixed, hot) -> DataFrame:
-    """Segments with their bytes, of the anchors in `mixed` (and a few others), those of anchors
-    in `hot` split: key, doc_id, anchor and start (places in the document), size, bytes. Rows
-    without bytes are parts that a task knows to be repeated; they only pass through."""
+def _by_table(mixed, hot):
+    """Whether segments' anchors are mixed, and hot, by broadcast bit tables."""
+    return lambda batch, a, b: lambda text, h: (_holds(mixed.value, h), _holds(hot.value, h))
+
+
+def _by_list(batch: pa.RecordBatch, a: int, b: int):
+    """The same by the lists that came with the documents a to b of a batch."""
+    known = []
+    for column in (2, 3):
+        held = batch.column(column).slice(a, b - a)
+        owner = np.repeat(np.arange(b - a), held.fill_null([]).value_lengths().to_numpy(zero_copy_only=False))
+        known.append(held.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U) ^ shingles.mix(owner.astype(U)))
+    return lambda text, h: tuple(np.isin(h ^ shingles.mix(text.astype(U)), x) for x in known)
+
+
+def _gather(texts: DataFrame, tests) -> DataFrame:
+    """What is left of the segments of mixed anchors (and of a few others), in three kinds:
+    "segment", with key (its anchor's hash), s (its own), doc_id, anchor and start (places in the
+    document), size and bytes; "string", of hot anchors, with key and s (its halves' hashes) and
+    size 1; "known", strings that a task knows to be repeated."""
+
+    def batch_of(rows: list[tuple], pieces: list[bytes | None]) -> pa.RecordBatch:
+        h, s, doc, anchor, start, size, single = (np.concatenate(x) for x in zip(*rows, strict=True))
+        first, later = _later(h, s, doc, start)
+        later = later[single[later]]  # later ones of whole segments are known by now, those of strings are not
+        both = np.r_[first, later]
+        kind = np.where(np.arange(len(both)) >= len(first), "known", np.where(single[both], "string", "segment"))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(kind.astype(object), pa.string()), pa.array(h[both].view(np.int64)), pa.array(s[both].view(np.int64)), pa.array(doc[both], pa.int64()), pa.array(anchor[both], pa.int32()), pa.array(start[both], pa.int32()), pa.array(size[both], pa.int32()), pa.array([*(pieces[i] for i in first.tolist()), *([None] * len(later))], pa.binary())],
+            ["kind", "key", "s", "doc_id", "anchor", "start", "size", "bytes"],
+        )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, split = mixed.value, hot.value
+        rows: list[tuple] = []
+        pieces: list[bytes | None] = []
         for batch in batches:
             raw = [t or b"" for t in batch.column(1).to_pylist()]
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in slices([len(t) for t in raw], 8 * BLOCK_BYTES):
-                rows, pieces = [], []
-                for c, d in ((a + x, a + y) for x, y in slices([len(t) for t in raw[a:b]], BLOCK_BYTES)):
-                    block = Block(raw[c:d])
-                    text, anchor, begin, size, h = block.segments()
-                    some = _holds(wanted, h)
-                    text, anchor, begin, size, h = text[some], anchor[some], begin[some], size[some], h[some]
-                    many = _holds(split, h)
-                    cut = np.zeros(int((~many).sum()), bool)
-                    if many.any():
-                        text, anchor, begin, size, h = (np.concatenate([x[~many], y]) for x, y in zip((text, anchor, begin, size, h), _parts(block, text[many], anchor[many], begin[many], size[many], h[many]), strict=True))
-                    s = _segment_hash(block, anchor, begin, size)
-                    at = block.bounds[text]
-                    cut = np.r_[cut, np.ones(len(text) - len(cut), bool)]
-                    rows.append((h, s, ids[c + text], anchor - at, begin - at, size, cut))
-                    pieces += [block.data[x:y] for x, y in zip(begin.tolist(), (begin + size + (LENGTH - 1)).tolist(), strict=True)]
-                h, s, doc, anchor, start, size, cut = (np.concatenate(x) for x in zip(*rows, strict=True))
-                first, later = _later(h, s, doc, start)
-                later = later[cut[later]]  # later ones of whole segments are known by now, those of parts are not
-                both = np.r_[first, later]
-                key = np.where(np.arange(len(both)) < len(first), h[both].view(np.int64), doc[both] ^ start[both])
-                held = [*(pieces[i] for i in first.tolist()), *([None] * len(later))]
-                if len(both):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[both], pa.int64()), pa.array(anchor[both], pa.int32()), pa.array(start[both], pa.int32()), pa.array(size[both], pa.int32()), pa.array(held, pa.binary())], ["key", "doc_id", "anchor", "start", "size", "bytes"])
-
-    return texts.mapInArrow(work, "key long, doc_id long, anchor int, start int, size int, bytes binary")
-
-
-def _parts(block: Block, text: np.ndarray, anchor: np.ndarray, begin: np.ndarray, size: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Segments split by the distance from a string's start to its anchor, each part under a
-    hash of the bytes that all its strings hold."""
-    wide = -(-SPAN // PARTS)
-    out = []
-    for part in range(PARTS):
-        last = anchor - part * wide
-        b = np.maximum(begin, last - wide + 1)
-        e = np.minimum(begin + size - 1, last)
-        ok = b <= e
-        common = block.hashes(last[ok], last[ok] - wide + 1 + LENGTH)
-        out.append((text[ok], anchor[ok], b[ok], (e - b + 1)[ok], shingles.mix(common + h[ok] + U(part))))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            for a, b in slices([len(t) for t in raw], BLOCK_BYTES):
+                block, test = Block(raw[a:b]), tests(batch, a, b)
+                text, anchor, begin, size, h = block.segments()
+                some, split = test(text, h)
+                for single, chosen in ((False, some & ~split), (True, some & split)):
+                    own = [x[chosen] for x in (text, anchor, begin, size, h)]
+                    if not len(own[0]):
+                        continue
+                    t, at, start, n, key = _strings(block, *own[:4]) if single else own
+                    s = block.hashes(start + LENGTH // 2, start + LENGTH) if single else _segment_hash(block, at, start, n)
+                    origin = block.bounds[t]
+                    rows.append((key, s, ids[a + t], at - origin, start - origin, n, np.full(len(t), single)))
+                    pieces += [None] * len(t) if single else [block.data[x:y] for x, y in zip(start.tolist(), (start + n + (LENGTH - 1)).tolist(), strict=True)]
+                if len(pieces) >= HELD_ROWS:
+                    yield batch_of(rows, pieces)
+                    rows, pieces = [], []
+        if rows:
+            yield batch_of(rows, pieces)
+
+    return texts.mapInArrow(work, "kind string, key long, s long, doc_id long, anchor int, start int, size int, bytes binary")
+
+
+def _strings(block: Block, text: np.ndarray, anchor: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Every string of the segments as a segment of its own, under the hash of its first half."""
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    start = np.repeat(begin, size) + within
+    return np.repeat(text, size), np.repeat(anchor, size), start, np.ones(len(start), np.int64), block.hashes(start, start + LENGTH // 2)
 
 
 def repeated(group: np.ndarray, rank: np.ndarray, offset: np.ndarray, size: np.ndarray, pieces: list[bytes]) -> np.ndarray:
@@ -292,10 +313,6 @@ def _sorted_out(segments: DataFrame) -> DataFrame:
 
 
 def _collections(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    known = table.filter(table["bytes"].is_null())
-    if known.num_rows:
-        yield from known.select(["doc_id", "start", "size"]).to_batches()
-        table = table.filter(table["bytes"].is_valid())
     key = table["key"].to_numpy()
     _, again = np.unique(key, return_inverse=True)
     alone = np.bincount(again)[again] < 2
@@ -325,12 +342,25 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("h", "s"))
     rows = _find(texts).withColumn("later", F.col("s").isNull() | (F.struct("doc_id", "start") != first))
     later = F.col("later")
-    rows = stored(rows.select(F.when(~later, F.col("h")).alias("h"), *(F.when(later, F.col(c)).alias(c) for c in ("doc_id", "start", "size"))), "segments")
+    rows = stored(rows.select(F.when(~later, F.col("h")).alias("h"), F.when(~later, F.col("doc_id")).alias("first_id"), *(F.when(later, F.col(c)).alias(c) for c in ("doc_id", "start", "size"))), "segments")
     anchors = stored(rows.where("h is not null").groupBy("h").agg(F.count("*").alias("segments")).where("segments > 1"), "anchors")
-    mixed = spark.sparkContext.broadcast(_bit_table(anchors))
-    hot = spark.sparkContext.broadcast(_bit_table(anchors.where(F.col("segments") > HOT)))
-    segments = _gather(texts, mixed, hot).repartition(shuffle_width(spark), "key").sortWithinPartitions("key")
-    ranges = rows.where("doc_id is not null").select("doc_id", "start", "size").unionByName(_sorted_out(segments))
+    hot = anchors.where(F.col("segments") > HOT)
+    if anchors.count() <= TABLE_IDS:
+        left = _gather(texts, _by_table(*(spark.sparkContext.broadcast(_bit_table(x)) for x in (anchors, hot))))
+    else:
+        wanted = rows.where("h is not null").join(anchors, "h").select(F.col("first_id").alias("doc_id"), "h", (F.col("segments") > HOT).alias("hot")).distinct()
+        lists = wanted.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("hot"), F.col("h"))).alias("mixed"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot"))
+        lists = lists.select("doc_id", F.concat("mixed", "hot").alias("mixed"), "hot")
+        left = _gather(texts.join(lists, "doc_id").select("doc_id", "text", "mixed", "hot"), _by_list)
+    left = stored(left, "left")
+    key = Window.partitionBy("key", "s").orderBy("doc_id", "start")
+    strings = left.where("kind = 'string'").withColumn("nth", F.row_number().over(key)).where("nth > 1")
+    # Equal segments of several tasks were settled above: one of each is enough.
+    segments = left.where("kind = 'segment'").repartition(shuffle_width(spark), "key").withColumn("nth", F.row_number().over(key)).where("nth = 1")
+    segments = segments.select("key", "doc_id", "anchor", "start", "size", "bytes").sortWithinPartitions("key")
+    ranges = rows.where("doc_id is not null").select("doc_id", "start", "size")
+    for more in (left.where("kind = 'known'"), strings, _sorted_out(segments)):
+        ranges = ranges.unionByName(more.select("doc_id", "start", "size"))
     packed = F.shiftleft(F.col("start").cast("long"), 32) + F.col("start") + F.col("size") + F.lit(LENGTH - 1)
     return ranges.select("doc_id", packed.alias("range")).groupBy("doc_id").agg(F.sort_array(F.collect_list("range")).alias("ranges"))
 
@@ -379,7 +409,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, and kept_sha256 of the bytes that stay."""
+    """doc_id, n_bytes, n_removed, n_spans, and kept_sha256 of the bytes that stay; one row for each
+    row of docs, nulls, repeated rows and empty tables as remove_repeats has them."""
     out = remove_repeats(docs, id_col, text_col)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
