@@ -88,14 +88,14 @@ def _permutations(vectors: DataFrame, pivots, prefix: int, least: float) -> Data
                     lists = np.where(best >= CLOSE, np.maximum(prefix, (near >= reach[:, None]).sum(1)), prefix)
                     for i, p, n in zip(part, top, lists.tolist(), strict=True):
                         nearest[i] = p[:n]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(nearest, pa.list_(pa.int32()))], ["label", "id", "vector", "copies", "nearest"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(nearest, pa.list_(pa.int32()))], ["label", "id", "vector", "copies", "mark", "nearest"])
 
-    return vectors.select("label", "id", "vector", "copies").mapInArrow(work, "label long, id long, vector array<double>, copies long, nearest array<int>")
+    return vectors.select("label", "id", "vector", "copies", "mark").mapInArrow(work, "label long, id long, vector array<double>, copies long, mark long, nearest array<int>")
 
 
 def _linked(key: tuple, batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Of each class that is linked within a cell (a block with itself, or with another one):
-    a, b: the smallest id that the cell's links lead to, and n: how many vectors it is linked with.
+    a, mark: the class; b: the smallest id that the cell's links lead to; n: how many vectors it is linked with.
     Pairs stay in the cell; a group of n near copies gives n rows."""
     table = pa.Table.from_batches(list(batches)).combine_chunks()
     pivot, low, high = key[1].as_py(), key[2].as_py(), key[3].as_py()
@@ -105,7 +105,7 @@ def _linked(key: tuple, batches: Iterator[pa.RecordBatch], least: float) -> Iter
         own = table.take(pa.array(np.flatnonzero(sizes == size))).combine_chunks()
         order = np.argsort(own["id"].to_numpy(), kind="stable")
         own = own.take(pa.array(order)).combine_chunks()
-        ids, block, copies = own["id"].to_numpy(), own["block"].to_numpy(), own["copies"].to_numpy()
+        ids, marks, block, copies = (own[c].to_numpy() for c in ("id", "mark", "block", "copies"))
         nearest = own["nearest"].to_pylist()
         width = max(len(p) for p in nearest)
         lists = np.array([p + [-1 - i] * (width - len(p)) for i, p in enumerate(nearest)])
@@ -141,9 +141,9 @@ def _linked(key: tuple, batches: Iterator[pa.RecordBatch], least: float) -> Iter
                     break
                 root = now
         some = np.flatnonzero(n)
-        found.append(np.stack([ids[some], ids[root[some]], n[some]], 1))
-    out = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(out[:, i], pa.int64()) for i in range(3)], ["a", "b", "n"])
+        found.append(np.stack([ids[some], marks[some], ids[root[some]], n[some]], 1))
+    out = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(out[:, i], pa.int64()) for i in range(4)], ["a", "mark", "b", "n"])
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", prefix: int = PREFIX) -> DataFrame:
@@ -154,7 +154,9 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec
     other vectors linked directly, copies included; component_id is the smallest vec_id
     reachable by links; kept marks it. Vectors that are null, empty, zero or hold null or
     non-finite components, and those of a null label or vec_id, link with nothing. Vectors
-    of different lengths never link. Repeated rows count as copies. Other columns are not read.
+    of different lengths never link. Repeated rows count as copies. Rows of one vec_id and
+    different vectors have links of their own and one component. An empty table gives none.
+    Other columns are not read.
     """
     spark = rows.sparkSession
     ensure_importable(spark)
@@ -163,7 +165,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec
     fit = sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     # -0.0 and 0.0 are equal: adding 0.0 makes copies of such vectors one class.
     good = base.where(fit).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
-    classes = stored(good.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vector-classes")
+    classes = stored(good.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).withColumn("mark", F.xxhash64("label", "vector")), "vector-classes")
     n = classes.count()
     wanted = max(1, min(MAX_PIVOTS, int(PER_ROOT * n**0.5)))
     share = min(1.0, 1.5 * wanted / max(1, n))
@@ -173,20 +175,20 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec
         points.setdefault(len(r["vector"]), []).append(r["vector"])
     pivots = spark.sparkContext.broadcast({size: _apart(_unit(np.array(v))) for size, v in points.items()})
     described = stored(_permutations(classes, pivots, prefix, threshold), "permutations")
-    listed = described.select("label", "id", "vector", "copies", "nearest", F.explode("nearest").alias("pivot"))
+    listed = described.select("label", "id", "vector", "copies", "mark", "nearest", F.explode("nearest").alias("pivot"))
     lengths = listed.groupBy("label", "pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     # A list of b blocks has b (b + 1) / 2 cells; a vector goes to the cells of its block.
     dealt = listed.join(lengths, ["label", "pivot"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = cells.select("label", "pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "vector", "copies", "nearest")
+    cells = cells.select("label", "pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "vector", "copies", "mark", "nearest")
 
     def work(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _linked(key, batches, threshold)
 
-    links = stored(cells.groupBy("label", "pivot", "low", "high").applyInArrow(work, "a long, b long, n long"), "vector-links")
+    links = stored(cells.groupBy("label", "pivot", "low", "high").applyInArrow(work, "a long, mark long, b long, n long"), "vector-links")
     groups = components(links.select("a", "b"))
-    others = links.groupBy("a").agg(F.sum("n").alias("others"))
-    by_class = classes.join(others.toDF("id", "others"), "id", "left").join(groups, "id", "left")
+    others = links.groupBy("a", "mark").agg(F.sum("n").alias("others"))
+    by_class = classes.join(others.toDF("id", "mark", "others"), ["id", "mark"], "left").join(groups, "id", "left")
     by_class = by_class.select("label", "vector", F.col("copies") - 1 + F.coalesce("others", F.lit(0)), F.coalesce("component", "id")).toDF("label", "vector", "n_links", "component_id")
     member = good.select("vec_id", "label", "vector").join(by_class, ["label", "vector"])
     alone = base.where(~F.coalesce(fit, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
