@@ -201,7 +201,11 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, the ids as array<int>, the decoded text."""
+    """One row per document: id, the ids as array<int>, the decoded text.
+
+    Null and empty texts have no ids and decode to the empty text. Any length is encoded whole;
+    repeated rows give repeated results; an empty table gives none; other columns are not read.
+    """
     ensure_importable(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
