@@ -22,8 +22,9 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 40 characters or more in 5 documents or more stay in the last one only; n_chars
-    follows. All documents stay, those without lines left as empty texts."""
-    out = line_dedup.dedup_lines(docs, min_chars=40, min_docs=5).select(*docs.columns)
+    follows. All documents stay, those without lines left as empty texts. Rows without doc_id
+    stay as they are; a column named n_lines or the like is one of the documents' own."""
+    out = line_dedup.cleaned(docs, min_chars=40, min_docs=5)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -36,12 +37,14 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold 0.8 or more of a benchmark item's 5-word shingles go."""
+    """Documents that hold 0.8 or more of a benchmark item's 5-word shingles go. Null and empty
+    texts hold none and stay; without items, or with empty ones only, all documents stay."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, threshold=(4, 5))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and decoded_sha256 of the text that the ids decode to."""
+    """doc_id, n_tokens, ids, and decoded_sha256 of the text that the ids decode to. One row for
+    each row; null and empty texts have no ids and decode to the empty text."""
     out = sentencepiece_codec.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
