@@ -236,9 +236,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
     ensure_importable(spark)
     out = TokenFiles(path or f"{shared_dir(spark)}/deltaview-tokens-{uuid.uuid4().hex}")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # One pass: every task keeps the SAMPLE_DOCS rows of least hash.
-    fitting = rows.where(F.length("text").between(1, SAMPLE_CHARS))
-    sample = fitting.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_DOCS).collect()
+    # Hashes alone are ranked, so that the driver gets SAMPLE_DOCS texts in all, not from every task.
+    fitting = rows.where(F.length("text").between(1, SAMPLE_CHARS)).withColumn("h", F.xxhash64("doc_id", "text"))
+    last = fitting.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).head()[0]
+    sample = [] if last is None else fitting.where(F.col("h") <= last).limit(SAMPLE_DOCS).collect()
+    sample.sort(key=lambda r: (r["h"], r["doc_id"], r["text"]))
     width = 2 if max(encoder(tokenizer_path).library.get_vocab_size(with_added_tokens=True), end_id + 1) <= 65_536 else 4
     dictionary = train_dictionary(encoder(tokenizer_path, width).whole([r["text"] for r in sample]))
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, data binary").write.mode("overwrite").parquet(f"{out.path}/dictionary")
