@@ -12,6 +12,8 @@ from deltaview.model import DELETE, INSERT, TRUNCATE
 
 #: Snapshot rows are transaction 0; they are exempt from replay checks.
 SNAPSHOT_LSN = 0
+#: Snapshot rows that are delivered together, at most.
+SNAPSHOT_ROWS = 1_000
 
 
 def without_replays(changes: DataFrame, committed_lsn: int = 0) -> DataFrame:
@@ -21,12 +23,14 @@ def without_replays(changes: DataFrame, committed_lsn: int = 0) -> DataFrame:
 
 
 def transactions(changes: DataFrame) -> DataFrame:
-    """commit_lsn and `changes`, in order: the envelope that sinks deliver.
+    """commit_lsn and `changes`, in order: the envelopes that sinks deliver.
 
-    A transaction is gathered in one row, as it has to be delivered as one.
+    A transaction is gathered in one row, as it has to be delivered as one. Snapshot rows are no
+    transaction of the source: they come in envelopes of SNAPSHOT_ROWS at most.
     """
     packed = F.struct("index_in_txn", *(c for c in changes.columns if c not in ("commit_lsn", "index_in_txn")))
-    return changes.groupBy("commit_lsn").agg(F.sort_array(F.collect_list(packed)).alias("changes"))
+    piece = F.when(F.col("commit_lsn") == SNAPSHOT_LSN, F.floor(F.monotonically_increasing_id() / SNAPSHOT_ROWS))
+    return changes.select("commit_lsn", packed.alias("change"), piece.alias("piece")).groupBy("commit_lsn", "piece").agg(F.sort_array(F.collect_list("change")).alias("changes")).drop("piece")
 
 
 def snapshot(rows: DataFrame, namespace: str, table: str) -> DataFrame:

@@ -30,6 +30,11 @@ def join_current(facts: DataFrame, reference: DataFrame, fact_key: str, referenc
     return left.join(right, "_key", "left").select(*facts.columns, *added)
 
 
+def reference_len(reference: DataFrame) -> int:
+    """Distinct rows that a reference, a delta or plain rows, holds."""
+    return (positive(canonical(reference)) if WEIGHT in reference.columns else reference.distinct()).count()
+
+
 def join_asof(facts: DataFrame, versions: DataFrame, fact_key: str, reference_key: str, lsn: str = "lsn") -> DataFrame:
     """Facts with the columns of their key's latest version at or before their own position.
 

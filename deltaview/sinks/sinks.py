@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 import urllib.error
 import urllib.parse
@@ -14,8 +13,11 @@ from typing import Any, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from deltaview.model import WEIGHT
 from deltaview.operators import log, zset
+from deltaview.streaming import files
 
 
 class SinkError(RuntimeError):
@@ -190,29 +192,65 @@ class ColumnarHttpSink:
 
 
 class ViewTableSink:
-    """Keeps the canonical rows of a view: each batch's delta is added to the last state, which
-    is replaced as a whole, under a new name that a small file points to."""
+    """Keeps the canonical rows of a view in buckets of Parquet files; a batch's delta is added to
+    the buckets that it touches, and the others stay as they are.
+
+    `current.json` says which folder holds each bucket, and what the state has taken in: the last
+    commit position, and the last batch (snapshot rows have no position). It is replaced last, so a
+    batch that fails is done again from the state before it, and one that comes again adds
+    nothing. A truncate takes away what the state holds of its table, whatever its weight.
+    `shape` turns a delta into the view's rows, as a reference join does; None takes it as it is.
+    """
+
+    def __init__(self, path: str, buckets: int = 16, shape: Callable[[DataFrame], DataFrame] | None = None):
+        self.path, self.buckets, self.shape = path.rstrip("/"), buckets, shape
 
-    def __init__(self, path: str):
-        self.path = path.rstrip("/")
+    def _held(self, spark: SparkSession) -> dict[str, Any]:
+        return files.load(spark, f"{self.path}/current.json") or {"lsn": 0, "batch": -1, "buckets": {}, "schema": None}
+
+    def _rows(self, spark: SparkSession, held: dict[str, Any], buckets: Sequence[str]) -> DataFrame:
+        schema = T.StructType.fromJson(held["schema"])
+        paths = [f"{self.path}/{held['buckets'][b]}/_bucket={b}" for b in buckets if b in held["buckets"]]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
     def write(self, changes: DataFrame, batch_id: int) -> None:
-        spark = changes.sparkSession
-        added = zset.delta(zset.since_truncate(changes))
-        if (old := self.read(spark)) is not None:
-            added = zset.merge(old, added)
-        name = f"state-{batch_id}-{uuid.uuid4().hex[:8]}"
-        zset.canonical(added).write.parquet(f"{self.path}/{name}")
-        with open(f"{self.path}/current.tmp", "w", encoding="utf-8") as f:
-            f.write(name)
-        os.replace(f"{self.path}/current.tmp", f"{self.path}/current")
+        spark, held = changes.sparkSession, self._held(changes.sparkSession)
+        snapshot = F.col("commit_lsn") == log.SNAPSHOT_LSN
+        fresh = changes.where((F.col("commit_lsn") > held["lsn"]) | (snapshot & F.lit(batch_id > held["batch"])))
+        fresh = fresh.withColumn("_table", F.concat_ws(".", "namespace", "table")).persist()
+        try:
+            last = fresh.agg(F.max("commit_lsn")).head()[0]
+            if last is None:
+                return
+            emptied = [r["_table"] for r in fresh.where("op = 'T'").select("_table").distinct().collect()]
+            delta = zset.delta(zset.since_truncate(fresh), ["_table"])
+            delta = zset.canonical(delta if self.shape is None else self.shape(delta))
+            columns = sorted(c for c in delta.columns if c != WEIGHT)
+            bucket = F.pmod(F.xxhash64(*columns), F.lit(self.buckets)).cast("string")
+            delta = delta.withColumn("_bucket", bucket).persist()
+            touched = list(held["buckets"]) if emptied else []
+            touched = sorted({*touched, *(r["_bucket"] for r in delta.select("_bucket").distinct().collect())})
+            folder = f"state-{batch_id}-{uuid.uuid4().hex[:8]}"
+            rows = delta.drop("_bucket")
+            if held["schema"]:
+                rows = zset.canonical(zset.merge(self._rows(spark, held, touched).where(~F.col("_table").isin(emptied)), rows))
+            rows.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+            made = {n.removeprefix("_bucket=") for n in files.names(spark, f"{self.path}/{folder}") if n.startswith("_bucket=")}
+            kept = {b: f for b, f in held["buckets"].items() if b not in touched}
+            files.save(spark, f"{self.path}/current.json", {"lsn": max(held["lsn"], last), "batch": max(held["batch"], batch_id), "buckets": kept | dict.fromkeys(made, folder), "schema": json.loads(rows.schema.json())})
+            for b in touched:
+                if b in held["buckets"]:
+                    files.remove(spark, f"{self.path}/{held['buckets'][b]}/_bucket={b}")
+            delta.unpersist()
+        finally:
+            fresh.unpersist()
 
     def read(self, spark: SparkSession) -> DataFrame | None:
-        try:
-            with open(f"{self.path}/current", encoding="utf-8") as f:
-                return spark.read.parquet(f"{self.path}/{f.read()}")
-        except FileNotFoundError:
+        """The view's rows with their weights; None before the first batch."""
+        held = self._held(spark)
+        if not held["schema"]:
             return None
+        return zset.canonical(self._rows(spark, held, list(held["buckets"])).drop("_table"))
 
 
 class FanOutSink:

@@ -148,10 +148,21 @@ class Decoder:
         return [c for i in ids if i in self.relations for c in self._change(self.relations[i], "T", None, None)]
 
 
-def transactions(events: Iterator[tuple[str, int, bytes]], decoder: Decoder) -> Iterator[tuple[int, list[dict[str, Any]]]]:
+#: Kinds of events that move the position and no data.
+HEARTBEATS = ("heartbeat", "keepalive")
+
+
+def transactions(events: Iterator[tuple[str, int, bytes]], decoder: Decoder, control: bool = False) -> Iterator[tuple[int, list[dict[str, Any]]]]:
     """(commit_lsn, changes) of (kind, lsn, payload) events: begin, data, commit, and others that
-    are passed over. Data outside a transaction is dropped, as are transactions without changes."""
+    are passed over. Data outside a transaction is dropped, as are transactions without changes.
+
+    With `control`, relations come as entries of op "R" (columns as "name:oid" in `unchanged`) in
+    the transaction that they were defined in or before, and heartbeats between transactions
+    as one entry of op "H" at their position.
+    """
     buffer: list[dict[str, Any]] | None = None
+    defined: list[dict[str, Any]] = []
+    entry = {"relation_id": None, "namespace": None, "table": None, "before": None, "after": None, "unchanged": [], "index_in_txn": -1}
     for kind, lsn, payload in events:
         if kind == "begin":
             buffer = []
@@ -160,7 +171,12 @@ def transactions(events: Iterator[tuple[str, int, bytes]], decoder: Decoder) ->
             if isinstance(found, list) and buffer is not None:
                 for change in found:
                     buffer.append(change | {"lsn": lsn, "index_in_txn": len(buffer)})
+            elif isinstance(found, Relation):
+                defined.append(entry | {"op": "R", "lsn": lsn, "relation_id": found.relation_id, "namespace": found.namespace, "table": found.name, "unchanged": [f"{c.name}:{c.type_oid}" for c in found.columns]})
         elif kind == "commit":
-            if buffer:
-                yield lsn, buffer
-            buffer = None
+            own = [*(defined if control else ()), *(buffer or ())]
+            if own:
+                yield lsn, own
+            buffer, defined = None, []
+        elif kind in HEARTBEATS and buffer is None and control:
+            yield lsn, [entry | {"op": "H", "lsn": lsn}]

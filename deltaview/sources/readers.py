@@ -2,15 +2,19 @@
 
 An event file holds rows (seq long, kind string, lsn long, payload binary) in order of seq;
 captures of a replication stream are kept so. Images come as map<string, string>;
-`typed` gives them a table's columns.
+`typed` gives them a table's columns. Besides changes there are rows of op "R", definitions
+of relations, and "H", heartbeats, which `typed` leaves out.
 """
 
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as fs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,21 +22,88 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from deltaview.functions.values import decode
 from deltaview.model import type_of_oid
-from deltaview.sources.pgoutput import Column, Decoder, Relation, transactions
+from deltaview.sources.pgoutput import HEARTBEATS, Column, Decoder, Relation, transactions
 
 RAW_SCHEMA = "commit_lsn long, lsn long, index_in_txn int, relation_id long, namespace string, `table` string, op string, before map<string,string>, after map<string,string>, unchanged array<string>"
 
 
-def _events(path: str) -> Iterator[tuple[str, int, bytes]]:
-    names = sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".parquet")) if os.path.isdir(path) else [path]
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
+def _names(path: str) -> list[str]:
+    system, at = _system(path)
+    if system.get_file_info(at).type != fs.FileType.Directory:
+        return [path]
+    return sorted(f"{path.rstrip('/')}/{f.base_name}" for f in system.get_file_info(fs.FileSelector(at)) if f.base_name.endswith(".parquet"))
+
+
+def _file(name: str) -> pq.ParquetFile:
+    system, at = _system(name)
+    return pq.ParquetFile(system.open_input_file(at))
+
+
+def _events(names: list[str]) -> Iterator[tuple[str, int, bytes]]:
     for name in names:
-        for batch in pq.ParquetFile(name).iter_batches(columns=["kind", "lsn", "payload"]):
+        for batch in _file(name).iter_batches(columns=["kind", "lsn", "payload"]):
             yield from zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
 
 
-def _rows(path: str, layout: str, after: int, upto: int | None = None) -> Iterator[tuple]:
+@dataclass(frozen=True)
+class EventFile:
+    """What is to be known of an event file without its rows' payloads."""
+
+    name: str
+    stamp: tuple[int, int]  # size and time of change
+    last: int  # the last position that ends a transaction or is a heartbeat; 0: none
+    open: bool  # ends inside a transaction
+    relations: tuple[tuple[int, bytes], ...]  # relation messages with their positions
+
+
+def _index(path: str, known: dict[str, EventFile]) -> list[EventFile]:
+    """The files in order. Only those that are new or have changed are read, without row payloads."""
+    out = []
+    for name in _names(path):
+        system, at = _system(name)
+        about = system.get_file_info(at)
+        stamp = (about.size, about.mtime_ns)
+        if name not in known or known[name].stamp != stamp:
+            file = _file(name)
+            last, inside, relations = 0, bool(out) and out[-1].open, []
+            for batch in file.iter_batches(columns=["kind", "lsn", "payload"]):
+                starts = pc.equal(pc.binary_slice(pc.cast(batch.column(2), pa.binary()), 0, 1), b"R")
+                kinds = batch.column(0)
+                some = pc.or_kleene(pc.not_equal(kinds, "data"), starts).fill_null(False)
+                for kind, lsn, payload in zip(*(batch.column(i).filter(some).to_pylist() for i in range(3)), strict=True):
+                    if kind == "begin":
+                        inside = True
+                    elif kind == "commit":
+                        last, inside = max(last, lsn), False
+                    elif kind in HEARTBEATS and not inside:
+                        last = max(last, lsn)
+                    elif kind == "data":
+                        relations.append((lsn, payload))
+            known[name] = EventFile(name, stamp, last, inside, tuple(relations))
+        out.append(known[name])
+    return out
+
+
+def _needed(files: list[EventFile], after: int, upto: int | None) -> tuple[list[str], list[bytes]]:
+    """The files that hold the transactions after a position up to another, and the relations defined before them."""
+    first = next((i for i, f in enumerate(files) if f.last > after), len(files))
+    while first > 0 and files[first - 1].open:
+        first -= 1
+    last = next((i for i, f in enumerate(files) if upto is not None and f.last >= upto), len(files) - 1)
+    return [f.name for f in files[first : last + 1]], [r for f in files[:first] for _, r in f.relations]
+
+
+def _rows(names: list[str], relations: list[bytes], layout: str, after: int, upto: int | None = None) -> Iterator[tuple]:
     """Rows of whole transactions committed after a position, up to another."""
-    for commit_lsn, changes in transactions(_events(path), Decoder(layout)):
+    decoder = Decoder(layout)
+    for r in relations:
+        decoder.decode(r)
+    for commit_lsn, changes in transactions(_events(names), decoder, control=True):
         if commit_lsn <= after or upto is not None and commit_lsn > upto:
             continue
         for c in changes:
@@ -44,34 +115,39 @@ class _Batch(DataSourceReader):
         self.options = options
 
     def read(self, partition) -> Iterator[tuple]:
-        return _rows(self.options["path"], self.options.get("layout", "protocol"), int(self.options.get("startlsn", 0)))
+        after = int(self.options.get("startlsn", 0))
+        names, relations = _needed(_index(self.options["path"], {}), after, None)
+        return _rows(names, relations, self.options.get("layout", "protocol"), after)
 
 
 class _Between(InputPartition):
-    def __init__(self, start: int, end: int):
+    def __init__(self, start: int, end: int, names: list[str], relations: list[bytes]):
         super().__init__(0)
-        self.start, self.end = start, end
+        self.start, self.end, self.names, self.relations = start, end, names, relations
 
 
 class _Stream(DataSourceStreamReader):
-    """Offsets are commit positions, so that a batch never splits a transaction. What lies
-    between two offsets is read again in the same way after a failure."""
+    """Offsets are positions of commits and heartbeats, so that a batch never splits a transaction.
+    What lies between two offsets is read again in the same way after a failure. The driver keeps
+    an index of the files; a batch reads the files that hold its transactions."""
 
     def __init__(self, options: dict[str, str]):
         self.options = options
         self.start = int(options.get("startlsn", 0))
+        self.known: dict[str, EventFile] = {}
 
     def initialOffset(self) -> dict:
         return {"lsn": self.start}
 
     def latestOffset(self) -> dict:
-        return {"lsn": max([self.start, *(lsn for kind, lsn, _ in _events(self.options["path"]) if kind == "commit")])}
+        return {"lsn": max([self.start, *(f.last for f in _index(self.options["path"], self.known))])}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Between(start["lsn"], end["lsn"])]
+        names, relations = _needed(_index(self.options["path"], self.known), start["lsn"], end["lsn"])
+        return [_Between(start["lsn"], end["lsn"], names, relations)]
 
     def read(self, partition: _Between) -> Iterator[tuple]:
-        return _rows(self.options["path"], self.options.get("layout", "protocol"), partition.start, partition.end)
+        return _rows(partition.names, partition.relations, self.options.get("layout", "protocol"), partition.start, partition.end)
 
     def commit(self, end: dict) -> None:
         pass
@@ -101,7 +177,7 @@ def register(spark: SparkSession) -> None:
 def typed(raw: DataFrame, relation: Relation) -> DataFrame:
     """The changes of one relation with typed images; values that don't parse are null."""
     image = lambda side: F.when(F.col(side).isNotNull(), F.struct(*(decode(F.col(side)[c.name], c.type_oid).cast(type_of_oid(c.type_oid)).alias(c.name) for c in relation.columns)))
-    own = raw.where((F.col("namespace") == relation.namespace) & (F.col("table") == relation.name))
+    own = raw.where((F.col("namespace") == relation.namespace) & (F.col("table") == relation.name) & F.col("op").isin("I", "U", "D", "T"))
     return own.select("commit_lsn", "lsn", "index_in_txn", "namespace", "table", "op", image("before").alias("before"), F.when(F.col("op") != "T", image("after")).alias("after"), "unchanged")
 
 
