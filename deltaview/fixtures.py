@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import struct
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +43,38 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder, a local one in tests without one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='deltaview-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as replication events (seq, kind, lsn, payload): a relation message, then a transaction for
+    each order with its insert; for every fourth one an update that doesn't send the customer; for
+    every ninth one a delete by key. One message in 100 orders is a heartbeat."""
+    word = lambda n, width: F.unhex(F.lpad(F.hex(n), 2 * width, "0"))
+    raw = lambda text: F.lit(text).cast("binary")
+    value = lambda c: F.concat(raw("t"), word(F.octet_length(c), 4), c.cast("binary"))
+    image = lambda *values: F.concat(word(F.lit(len(values)), 2), *values)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("k"), F.col("o_custkey").cast("string").alias("c"), F.col("o_orderstatus").alias("s"))
+    k, old = F.col("o_orderkey"), image(*(value(F.col(x)) for x in "kcs"))
+    message = lambda op, *parts: F.concat(raw(op), word(F.lit(7), 4), *parts)
+    unsent = image(value(F.col("k")), raw("u"), value(F.lit("X")))
+    data = F.array(
+        message("I", raw("N"), old), F.when(k % 4 == 0, message("U", raw("O"), old, raw("N"), unsent)),
+        F.when(k % 9 == 0, message("D", raw("O"), image(value(F.col("k")), value(F.col("c")), value(F.when(k % 4 == 0, "X").otherwise(F.col("s")))))),
+    )
+    event = lambda kind, at, payload: F.struct((k * 10 + at).alias("lsn"), F.lit(kind).alias("kind"), payload.alias("payload"))
+    rows = F.array(event("begin", 0, raw("")), *(F.when(data[i].isNotNull(), event("data", i + 1, data[i])) for i in range(3)), event("commit", 8, raw("")), F.when(k % 100 == 0, event("heartbeat", 9, raw(""))))
+    columns = b"".join(struct.pack(">B", 1 if i == 0 else 0) + n + b"\0" + struct.pack(">Ii", oid, -1) for i, (n, oid) in enumerate(((b"o_orderkey", 20), (b"o_custkey", 20), (b"o_orderstatus", 25))))
+    relation = spark.createDataFrame([(0, "data", bytearray(b"R" + struct.pack(">I", 7) + b"public\0orders\0f" + struct.pack(">H", 3) + columns))], "lsn long, kind string, payload binary")
+    events = relation.unionByName(o.select(F.explode(F.array_compact(rows)).alias("e")).select("e.*"))
+    return events.select(F.col("lsn").alias("seq"), "kind", "lsn", "payload")
+
+
 #: SQL of the same rules: the rows, the log, and what is left in the end.
 EVENTS_SQL = """
   base AS (SELECT event_id, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS cents, epoch_us(ts) // 1000 AS ts_ms FROM events),
