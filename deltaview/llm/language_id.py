@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltaview.llm.runtime import ensure_importable, held, slices
+from deltaview.llm.runtime import ensure_importable, held, slices, tidied
 
 #: The fit: at most so many labelled documents a language, and so many characters of each, from so many places of it.
 SAMPLE_DOCS, SAMPLE_CHARS, PLACES = 128, 256, 4
@@ -246,7 +246,7 @@ def predict(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: st
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         parser = held(f"language {hashlib.sha256(repr(sorted(own.items())).encode()).hexdigest()}", lambda: CrossParser(own))
-        for batch in batches:
+        for batch in tidied(batches):
             lang, score = parser.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -93,9 +94,27 @@ def held(name: str, make: Callable[[], T]) -> T:
     return _HELD[name]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in pieces of so many rows: texts become Python objects piece by piece."""
+def _allocator() -> Any:
+    """The C library, where it can give memory back to the system."""
+    found = ctypes.CDLL(None)
+    return found if hasattr(found, "malloc_trim") else None
+
+
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches; once one is worked off, memory that is free but held goes back to the system:
+    workers outlive tasks, and what they hold counts against the executor."""
+    library = _allocator()
     for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if library is not None:
+            library.malloc_trim(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of so many rows: texts become Python objects piece by piece."""
+    for batch in tidied(batches):
         for begin in range(0, batch.num_rows, rows):
             yield batch.slice(begin, rows)
 

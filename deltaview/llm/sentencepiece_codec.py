@@ -25,8 +25,8 @@ SPACE = "▁"
 #: Symbols from here on stand for a code point that is no piece.
 FOREIGN = 1 << 24
 #: Distinct cuts a worker keeps between blocks; those beyond it are merged anew in each block.
-CACHE = 200_000
-BLOCK_CHARS = 4_000_000
+CACHE = 150_000
+BLOCK_CHARS = 1_000_000
 
 
 def _varint(data: bytes, i: int) -> tuple[int, int]:

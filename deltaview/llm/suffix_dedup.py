@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltaview.llm import shingles
-from deltaview.llm.runtime import ensure_importable, shuffle_width, slices, stored
+from deltaview.llm.runtime import ensure_importable, shuffle_width, slices, stored, tidied
 
 U = np.uint64
 #: Strings of LENGTH bytes or more are removed; anchors are strings of GRAM bytes.
@@ -132,7 +132,7 @@ def _find(texts: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, ...]] = []
         rows = 0
-        for batch in batches:
+        for batch in tidied(batches):
             raw = [t or b"" for t in batch.column(1).to_pylist()]
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in slices([len(t) for t in raw], BLOCK_BYTES):
@@ -201,7 +201,7 @@ def _gather(texts: DataFrame, tests) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         pieces: list[bytes | None] = []
-        for batch in batches:
+        for batch in tidied(batches):
             raw = [t or b"" for t in batch.column(1).to_pylist()]
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in slices([len(t) for t in raw], BLOCK_BYTES):
@@ -296,7 +296,7 @@ def _sorted_out(segments: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
         rows = 0
-        for batch in batches:
+        for batch in tidied(batches):
             kept.append(batch)
             rows += batch.num_rows
             if rows >= COLLECTION:
@@ -389,7 +389,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = texts.join(ranges, F.coalesce("doc_id", F.lit(-(2**63))) == F.col("own_id"), "left").select("doc_id", "text", "ranges")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             held = batch.column(2)
             flat, at = held.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(held.fill_null([]).value_lengths().to_numpy(zero_copy_only=False))]
             rows = []

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaview.llm.bytelevel import ByteLevel, cut_block, whole
-from deltaview.llm.runtime import ensure_importable, held, slices
+from deltaview.llm.runtime import ensure_importable, held, slices, tidied
 
 #: Distinct cuts a worker keeps between blocks; those beyond it are merged anew in each block.
 CACHE = 700_000
@@ -55,7 +55,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     ensure_importable(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             counts = list(count_all([t or "" for t in batch.column(1).to_pylist()], path))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltaview.llm.bytelevel import byte_letters, read_spec, split_heads, whole
-from deltaview.llm.runtime import ensure_importable, held, shared_dir, shuffle_width, slices
+from deltaview.llm.runtime import ensure_importable, held, shared_dir, shuffle_width, slices, tidied
 
 MAGIC = b"DVTIDS01"
 HEAD = struct.Struct("<8sII32s")
@@ -254,7 +254,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
             n, data = sum(writer.counts), writer.close()
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([serial], pa.int64()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["part", "serial", "n_tokens", "data"])
 
-        for batch in batches:
+        for batch in tidied(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(batch.column(1).to_pylist(), tokenizer_path, width), strict=True):
                 writer.add_narrow(doc_id, ids + end)
                 if writer.size >= SHARD_BYTES:
@@ -280,7 +280,7 @@ def read_tokens(spark: SparkSession, files: TokenFiles) -> DataFrame:
     shards = files.shards(spark)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             for part, serial, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 shard = Shard(data, shared.value)
                 crc = [zlib.crc32(shard.ids(i).tobytes()) for i in range(len(shard))]
@@ -307,7 +307,7 @@ def read_ids(spark: SparkSession, files: TokenFiles) -> DataFrame:
     shared = spark.sparkContext.broadcast(files.dictionary(spark))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             for data in batch.column(0).to_pylist():
                 shard = Shard(data, shared.value)
                 for begin, end in slices(shard.counts.tolist(), 4_000_000):

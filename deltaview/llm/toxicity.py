@@ -35,8 +35,8 @@ EPOCHS, BATCH_DOCS, RATE, SHARPNESS = 4, 32, 0.012, 4.0
 #: A bucket that fewer documents of the sample hold has no embedding, so that no document is learned by heart.
 LEAST_DOCS = 3
 #: Distinct words whose inputs a worker keeps between blocks.
-CACHE = 150_000
-BLOCK_CHARS = 4_000_000
+CACHE = 120_000
+BLOCK_CHARS = 2_000_000
 #: Words whose n-grams are hashed together.
 HASHED = 30_000
 #: Windows that run side by side: their states fit a core's cache.
