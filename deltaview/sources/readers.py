@@ -9,8 +9,10 @@ of relations, and "H", heartbeats, which `typed` leaves out.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -171,6 +173,10 @@ class ReplicationLog(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known, and let Python workers import this package when only the driver has it on its path."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     spark.dataSource.register(ReplicationLog)
 
 
