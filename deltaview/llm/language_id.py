@@ -4,7 +4,10 @@ For each language, a suffix automaton of a bounded sample of its labelled texts
 A text is cut greedily into the longest phrases that occur in that sample; the fewer
 phrases it takes, each weighted by the logarithm of the sample's length, the closer the
 language. Texts are parsed in blocks of CHUNK code points side by side, all languages at
-once, so that a step of the automata is one numpy gather for thousands of blocks. Where
+once, so that a step of the automata is one numpy gather for thousands of blocks. Then the
+blocks of a text are joined: the parse that comes in from the block before goes on until it
+meets the block's own, from where on both are the same. So phrases are those of the whole
+text, wherever the blocks' edges lie. Where
 samples hold so many letters that a table of all ways would be too large, the ways
 that there are lie in a hash table, and a step is a few gathers.
 """
@@ -142,11 +145,11 @@ class CrossParser:
         else:
             self.ways = Ways(np.concatenate([(w[:, 0] + o) * self.symbols + w[:, 1] for o, w in built]), np.concatenate([w[:, 2] + o for o, w in built]))
 
-    def _step(self, state: np.ndarray, symbol: np.ndarray, begins: bool) -> np.ndarray:
-        """The states [language, block] after one symbol of each block, marked where a phrase ends."""
+    def _step(self, lang: np.ndarray, state: np.ndarray, symbol: np.ndarray, begins: bool = False) -> np.ndarray:
+        """The states after one symbol of each block, marked where a phrase ends. `begins`: all are roots."""
         if self.table is not None:
             return self.table.take(state * self.symbols + symbol)
-        again = self.first[:, symbol]
+        again = self.first[lang, symbol]
         if begins:
             return again
         to = self.ways.get((state.astype(np.int64) * self.symbols + symbol).ravel()).reshape(state.shape)
@@ -165,7 +168,14 @@ class CrossParser:
         return codes[keep]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of phrases [text, language], and of symbols [text]."""
+        """Number of phrases [text, language] if each block is parsed by itself, and of symbols [text]."""
+        return self._parsed(texts, joined=False)
+
+    def whole_phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of phrases [text, language] of the whole texts, and of symbols [text]."""
+        return self._parsed(texts, joined=True)
+
+    def _parsed(self, texts: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray]:
         codes = [self.codes_of(t) for t in texts]
         flat = np.concatenate([*codes, np.zeros(1, self.code.dtype)]).astype(np.int32)
         size = np.array([len(c) for c in codes], np.int64)
@@ -175,20 +185,59 @@ class CrossParser:
         nth = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(chunks)[:-1]] if len(chunks) else chunks, chunks)
         start, length = begins[owner] + nth * CHUNK, np.minimum(CHUNK, size[owner] - nth * CHUNK)
         order = np.argsort(-length, kind="stable")
-        start, length = start[order], length[order]
-        live = np.searchsorted(-length, -np.arange(CHUNK), "left")  # at column j: those longer than j
+        from_, long = start[order], length[order]
+        live = np.searchsorted(-long, -np.arange(CHUNK), "left")  # at column j: those longer than j
+        lang = np.arange(len(self.languages))[:, None]
         state = np.repeat(self.roots[:, None], len(order), 1)
         count = np.ones((len(self.languages), len(order)), np.int32)
         for j in range(CHUNK):
             n = int(live[j])
             if not n:
                 break
-            to = self._step(state[:, :n], flat[start[:n] + j], j == 0)
+            to = self._step(lang, state[:, :n], flat[from_[:n] + j], j == 0)
             count[:, :n] += to < 0
             state[:, :n] = to & 0x7FFFFFFF
-        out = np.stack([np.bincount(owner[order], weights=c, minlength=len(texts)) for c in count], 1) if len(count) else np.zeros((len(texts), 0))
+        back = np.argsort(order)
+        count, state = count[:, back], state[:, back]
+        if joined:
+            count += self._reaching(flat, start, length, nth > 0, state)
+        out = np.stack([np.bincount(owner, weights=c, minlength=len(texts)) for c in count], 1) if len(count) else np.zeros((len(texts), 0))
         return out, size
 
+    def _reaching(self, flat: np.ndarray, start: np.ndarray, length: np.ndarray, goes_on: np.ndarray, alone: np.ndarray) -> np.ndarray:
+        """Phrases [language, block] that the whole text's parse begins in a block beyond those of
+        the block's own parse, which ended in the states `alone`.
+
+        Both parses run side by side until their states are equal. A parse that doesn't meet the
+        block's own before the end changes what comes into the next block, which is run again.
+        """
+        more, ends = np.zeros(alone.shape, np.int32), alone.copy()
+        lang, block = np.nonzero(np.repeat(goes_on[None], len(self.languages), 0))
+        while len(block):
+            own, real = self.roots[lang], ends[lang, block - 1]
+            extra = np.full(len(block), -1, np.int32)  # the block's own first phrase
+            apart = np.arange(len(block))
+            for j in range(CHUNK):
+                apart = apart[length[block[apart]] > j]
+                if not len(apart):
+                    break
+                symbol = flat[start[block[apart]] + j]
+                a, b = self._step(lang[apart], own[apart], symbol, j == 0), self._step(lang[apart], real[apart], symbol)
+                extra[apart] += (b < 0).astype(np.int32) - (a < 0)
+                own[apart], real[apart] = a & 0x7FFFFFFF, b & 0x7FFFFFFF
+                apart = apart[own[apart] != real[apart]]
+            more[lang, block] = extra
+            end = alone[lang, block]
+            end[apart] = real[apart]
+            changed = end != ends[lang, block]
+            ends[lang, block] = end
+            lang, block = lang[changed], block[changed] + 1
+            some = block < len(start)
+            lang, block = lang[some], block[some]
+            some = goes_on[block]
+            lang, block = lang[some], block[some]
+        return more
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language of the fewest weighted phrases (the first by name of equal ones), and
         by which share of its phrases the next one needs more, at most 1."""
@@ -197,7 +246,7 @@ class CrossParser:
         if not self.languages:
             return lang, score
         for a, b in slices([len(texts[i]) for i in known], BLOCK_CHARS):
-            phrases, _ = self.phrases([texts[i] for i in known[a:b]])
+            phrases, _ = self.whole_phrases([texts[i] for i in known[a:b]])
             cost = phrases * np.array(self.weights)
             best = cost.argmin(1)
             low = cost[np.arange(len(cost)), best]
@@ -236,7 +285,7 @@ def predict(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: st
     texts without a letter, and if nothing was learned), score (0 to 1).
 
     `learn`, over doc_id, picks the documents that may be learned from. Texts of any length
-    are parsed whole; repeated rows give repeated results; other columns are not read.
+    are parsed whole, in one sequence of phrases; repeated rows give repeated results; other columns are not read.
     """
     spark = docs.sparkSession
     ensure_importable(spark)

@@ -413,6 +413,27 @@ def test_many_letters(dense, monkeypatch):
     assert len(set(parser.codes_of("".join(sorted(letters))).tolist())) == len(letters)
 
 
+@pytest.mark.parametrize("dense", [32_000_000, 0])
+def test_whole_cross_parsing(dense, monkeypatch):
+    """Phrases across the blocks' edges: those of a plain parse of the whole text, also where parses never meet."""
+    monkeypatch.setattr(language_id, "DENSE", dense, raising=False)
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdef") for _ in range(r.randint(1, 6))) for _ in range(60)]
+    samples = {"a": [" ".join(r.choice(words) for _ in range(300))], "b": ["z" * 10 + " " + "".join(r.choice("abc") for _ in range(400))], "c": ["x"]}
+    parser = language_id.CrossParser(samples)
+    n = language_id.CHUNK
+    texts = [" ".join(r.choice(words) for _ in range(m)) for m in (1, 40, 400, 1500)]
+    texts += ["z" * (5 * n + 3), samples["a"][0] * 3, "abc" * n, "q" * (2 * n), "a" * n, "b" * (n + 1), "", "  "]
+    phrases, size = parser.whole_phrases(texts)
+    for t, text in enumerate(texts):
+        codes = "".join(map(chr, parser.codes_of(text).tolist()))
+        assert size[t] == len(codes)
+        for l, lang in enumerate(parser.languages):
+            sample = "".join(map(chr, parser.codes_of(" ".join(samples[lang]).lower()).tolist()))
+            assert phrases[t, l] == cross_parse(codes, sample, max(1, len(codes)))
+    assert (phrases != parser.phrases(texts)[0]).any()
+
+
 def test_language_id(spark, odd, empty):
     everything = F.lit(True)
     out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(odd, everything).collect()}
