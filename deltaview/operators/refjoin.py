@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltaview.functions.values import render
 from deltaview.model import WEIGHT
 from deltaview.operators.zset import canonical, positive
 
+#: An as-of join cuts the keys of more rows than HOT_ROWS and a share of 1 / HOT_KEYS of all, into so many parts.
+HOT_ROWS, HOT_KEYS, PARTS = 1_000_000, 1_000, 128
+
 
 def _key(df: DataFrame, column: str, other: DataFrame, other_column: str) -> Column:
     """The column itself where both have one type, else its text, as whole floats equal integers."""
@@ -35,22 +38,47 @@ def reference_len(reference: DataFrame) -> int:
     return (positive(canonical(reference)) if WEIGHT in reference.columns else reference.distinct()).count()
 
 
+def _dealt(rows: DataFrame, spread: Column) -> DataFrame:
+    """Rows (_key, _at, _side, _version, _fact) with a _part of their key's positions, and those
+    versions again that are in force where a part begins.
+
+    Keys with many rows are cut at quantiles of their positions. Where many facts share a
+    position that is an edge, several edges in a row as a rule, they are dealt out over the parts
+    between; the version of that position goes to the first of them.
+    """
+    known = rows.where(F.col("_key").isNotNull())
+    counts = known.groupBy("_key").agg(F.count("*").alias("n"))
+    limit = F.greatest(F.lit(HOT_ROWS).cast("double"), counts.agg(F.coalesce(F.sum("n"), F.lit(0)) / HOT_KEYS).scalar())
+    hot = F.broadcast(counts.where(F.col("n") > limit).select("_key"))  # HOT_KEYS rows at most
+    cuts = F.percentile_approx("_at", [i / PARTS for i in range(1, PARTS)], 100 * PARTS)
+    edges = F.broadcast(known.select("_key", "_at").join(hot, "_key").groupBy("_key").agg(cuts.alias("_edges")))
+    low, high = (F.coalesce(F.size(F.filter("_edges", f)).cast("long"), F.lit(0).cast("long")) for f in (lambda e: e < F.col("_at"), lambda e: e <= F.col("_at")))
+    part = F.when(F.col("_side") == 0, low).when(F.col("_key").isNull(), spread).otherwise(low + F.pmod(spread, high - low + 1))
+    dealt = rows.join(edges, "_key", "left").withColumn("_part", F.when(F.col("_edges").isNull() & F.col("_key").isNotNull(), F.lit(0).cast("long")).otherwise(part))
+    last = dealt.where("_side = 0 and _edges is not null").groupBy("_key", "_part").agg(F.max_by("_version", "_at").alias("_version"))
+    following = F.coalesce(F.lead("_part").over(Window.partitionBy("_key").orderBy("_part")), F.lit(PARTS - 1).cast("long"))
+    carried = last.withColumn("_next", following).where("_part < _next").withColumn("_part", F.explode(F.sequence(F.col("_part") + 1, "_next")))
+    return dealt.drop("_edges").unionByName(carried.select("_key", "_part", "_version", F.lit(0).alias("_side")), allowMissingColumns=True)
+
+
 def join_asof(facts: DataFrame, versions: DataFrame, fact_key: str, reference_key: str, lsn: str = "lsn") -> DataFrame:
     """Facts with the columns of their key's latest version at or before their own position.
 
     `versions` holds one row per key and position; a position may come without a row's values
     (a delete), given by a false `live` column if there is one. Versions and facts are merged
-    in one stream per key, so that a fact costs one row, whatever the number of versions.
+    in one stream per key, so that a fact costs one row, whatever the number of versions. The
+    stream of a key with more than HOT_ROWS rows, and than a share of 1 / HOT_KEYS of all, is cut
+    into PARTS ranges of positions. Null keys match nothing.
     """
-    from pyspark.sql import Window
-
     added = [c for c in versions.columns if c not in facts.columns and c != "live"]
     live = F.col("live") if "live" in versions.columns else F.lit(True)
     held = F.when(live, F.struct(*(F.col(c) for c in added)))
     # Left as null, a version's values would be skipped by last(ignorenulls): wrap them.
     right = versions.select(_key(versions, reference_key, facts, fact_key).alias("_key"), F.col(lsn).alias("_at"), F.lit(0).alias("_side"), F.struct(held.alias("v")).alias("_version"), F.lit(None).cast(facts.schema).alias("_fact"))
     left = facts.select(_key(facts, fact_key, versions, reference_key).alias("_key"), F.col(lsn).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema["_version"].dataType).alias("_version"), F.struct(*(F.col(c) for c in facts.columns)).alias("_fact"))
-    order = Window.partitionBy("_key").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = right.where(F.col("_key").isNotNull()).unionByName(left).withColumn("_seen", F.last("_version", ignorenulls=True).over(order))
+    hashable = [F.col("_fact")[c] for c in facts.columns if "map<" not in facts.schema[c].dataType.simpleString()]
+    dealt = _dealt(right.where(F.col("_key").isNotNull()).unionByName(left), F.xxhash64(*hashable))
+    order = Window.partitionBy("_key", "_part").orderBy(F.col("_at").asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = dealt.withColumn("_seen", F.last("_version", ignorenulls=True).over(order))
     known = F.when(F.col("_key").isNotNull(), F.col("_seen")["v"])
     return seen.where("_side = 1").select("_fact.*", *(known[c].alias(c) for c in added))

@@ -153,6 +153,29 @@ def test_asof_join(spark):
     assert got == {(1, "28"): None, (5, "28"): "gold", (9, "28"): "silver", (20, "28"): None, (9, "99"): None, (9, None): None}
 
 
+@pytest.mark.parametrize("parts", [2, 5, 16])
+def test_asof_join_hot_key(spark, monkeypatch, parts):
+    """A key with most facts, many of them at one position, and null keys, against a plain loop."""
+    monkeypatch.setattr(refjoin, "HOT_ROWS", 20)
+    monkeypatch.setattr(refjoin, "HOT_KEYS", 10)
+    monkeypatch.setattr(refjoin, "PARTS", parts)
+    r = random.Random(parts)
+    at = lambda: 50 if r.random() < 0.4 else r.randrange(100)
+    rows = [(i, "hot" if i % 3 else r.choice(["a", "b", "late", None]), at()) for i in range(600)] + [(i, None, 5) for i in range(600, 700)]
+    held = [("hot", f"v{i}", i, i % 4 > 0) for i in [0, 3, 4, 31, 50, 51, 77, 98]] + [("late", "w", 200, True), ("a", "x", 10, True), ("gone", "y", 1, True)]
+    facts = spark.createDataFrame(rows, "n long, m string, lsn long").withColumn("extra", F.create_map(F.lit("k"), F.col("n")))
+    versions = spark.createDataFrame(held, "id string, tier string, lsn long, live boolean")
+    out = refjoin.join_asof(facts, versions, "m", "id")
+    got = sorted((x["n"], x["m"], x["lsn"], x["tier"]) for x in out.collect())
+    want = []
+    for n, m, lsn in rows:
+        seen = [(x[2], x[1] if x[3] else None) for x in held if x[0] == m and x[2] <= lsn]
+        want.append((n, m, lsn, max(seen)[1] if seen else None))
+    assert [x[0] for x in got] == [x[0] for x in want] and got == sorted(want, key=lambda x: x[0])
+    key = [x["n"] for x in refjoin._dealt(facts.select(F.col("m").alias("_key"), F.col("lsn").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_version"), F.struct("n").alias("_fact")), F.xxhash64(F.col("_fact.n"))).where("_key = 'hot'").groupBy("_part").agg(F.count("*").alias("n")).collect()]
+    assert sum(key) == sum(m == "hot" for _, m, _ in rows) and max(key) < 3 * sum(key) / parts
+
+
 def test_latest(spark):
     rows = [("I", None, (1, 0, 1)), ("U", (1, 0, 1), (2, 0, 1)), ("U", (2, 0, 1), (2, 0, 5)), ("I", None, (3, 0, 1)), ("D", (3, 0, 1), None)]
     got = log.latest(log.versions(changes(spark, rows), ["id"]), ["id"]).collect()
