@@ -9,7 +9,7 @@ from deltaview.functions.values import render
 from deltaview.model import WEIGHT
 from deltaview.operators.zset import canonical, positive
 
-#: An as-of join cuts the keys of more rows than HOT_ROWS and a share of 1 / HOT_KEYS of all, into so many parts.
+#: An as-of join cuts the HOT_KEYS largest keys, of those of more than HOT_ROWS rows, into so many parts.
 HOT_ROWS, HOT_KEYS, PARTS = 1_000_000, 1_000, 128
 
 
@@ -47,9 +47,10 @@ def _dealt(rows: DataFrame, spread: Column) -> DataFrame:
     between; the version of that position goes to the first of them.
     """
     known = rows.where(F.col("_key").isNotNull())
-    counts = known.groupBy("_key").agg(F.count("*").alias("n"))
-    limit = F.greatest(F.lit(HOT_ROWS).cast("double"), counts.agg(F.coalesce(F.sum("n"), F.lit(0)) / HOT_KEYS).scalar())
-    hot = F.broadcast(counts.where(F.col("n") > limit).select("_key"))  # HOT_KEYS rows at most
+    many = known.groupBy("_key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS)
+    if many.isEmpty():
+        return rows.withColumn("_part", F.when(F.col("_key").isNull(), spread).otherwise(0))
+    hot = F.broadcast(many.orderBy(F.desc("n"), "_key").limit(HOT_KEYS).select("_key"))
     cuts = F.percentile_approx("_at", [i / PARTS for i in range(1, PARTS)], 100 * PARTS)
     edges = F.broadcast(known.select("_key", "_at").join(hot, "_key").groupBy("_key").agg(cuts.alias("_edges")))
     low, high = (F.coalesce(F.size(F.filter("_edges", f)).cast("long"), F.lit(0).cast("long")) for f in (lambda e: e < F.col("_at"), lambda e: e <= F.col("_at")))
@@ -67,8 +68,9 @@ def join_asof(facts: DataFrame, versions: DataFrame, fact_key: str, reference_ke
     `versions` holds one row per key and position; a position may come without a row's values
     (a delete), given by a false `live` column if there is one. Versions and facts are merged
     in one stream per key, so that a fact costs one row, whatever the number of versions. The
-    stream of a key with more than HOT_ROWS rows, and than a share of 1 / HOT_KEYS of all, is cut
-    into PARTS ranges of positions. Null keys match nothing.
+    stream of a key with more than HOT_ROWS rows, if it is one of the HOT_KEYS largest, is cut into
+    PARTS ranges of positions; the rest have less than 1 / HOT_KEYS of all rows each. Whether there
+    are such keys is counted when the join is made, by one pass over the keys. Null keys match nothing.
     """
     added = [c for c in versions.columns if c not in facts.columns and c != "live"]
     live = F.col("live") if "live" in versions.columns else F.lit(True)
